@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from spectrail.llm.licences import op6_licences, op6_sql
 from spectrail.llm.mixing import op2_mix
+from spectrail.llm.neardup import op4_neardup
 from spectrail.llm.packing import op10_pack
 
-QUERIES = {"op2_mix": op2_mix, "op6_licences": op6_licences, "op10_pack": op10_pack}
+QUERIES = {"op4_neardup": op4_neardup, "op2_mix": op2_mix, "op6_licences": op6_licences, "op10_pack": op10_pack}
 ORACLES: dict = {"op6_licences": op6_sql()}
