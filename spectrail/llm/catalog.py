@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from spectrail.llm.language import op3_language
 from spectrail.llm.licences import op6_licences, op6_sql
 from spectrail.llm.mixing import op2_mix
 from spectrail.llm.neardup import op4_neardup
 from spectrail.llm.packing import op10_pack
+from spectrail.llm.quality import op7_quality
+from spectrail.llm.vectors import op9_vectors
 
-QUERIES = {"op4_neardup": op4_neardup, "op2_mix": op2_mix, "op6_licences": op6_licences, "op10_pack": op10_pack}
-ORACLES: dict = {"op6_licences": op6_sql()}
+QUERIES = {
+    "op2_mix": op2_mix,
+    "op3_language": op3_language,
+    "op4_neardup": op4_neardup,
+    "op6_licences": op6_licences,
+    "op7_quality": op7_quality,
+    "op9_vectors": op9_vectors,
+    "op10_pack": op10_pack,
+}
+ORACLES = {"op6_licences": op6_sql()}
