@@ -8,12 +8,14 @@ from spectrail.llm.mixing import op2_mix
 from spectrail.llm.neardup import op4_neardup
 from spectrail.llm.packing import op10_pack
 from spectrail.llm.quality import op7_quality
+from spectrail.llm.secrets import op5_secrets
 from spectrail.llm.vectors import op9_vectors
 
 QUERIES = {
     "op2_mix": op2_mix,
     "op3_language": op3_language,
     "op4_neardup": op4_neardup,
+    "op5_secrets": op5_secrets,
     "op6_licences": op6_licences,
     "op7_quality": op7_quality,
     "op9_vectors": op9_vectors,
