@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spectrail.llm.html import op1_main_text
 from spectrail.llm.language import op3_language
 from spectrail.llm.licences import op6_licences, op6_sql
 from spectrail.llm.mixing import op2_mix
@@ -12,6 +13,7 @@ from spectrail.llm.secrets import op5_secrets
 from spectrail.llm.vectors import op9_vectors
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_mix": op2_mix,
     "op3_language": op3_language,
     "op4_neardup": op4_neardup,
