@@ -10,6 +10,7 @@ from spectrail.llm.neardup import op4_neardup
 from spectrail.llm.packing import op10_pack
 from spectrail.llm.quality import op7_quality
 from spectrail.llm.secrets import op5_secrets
+from spectrail.llm.substrings import op8_substrings
 from spectrail.llm.vectors import op9_vectors
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_licences": op6_licences,
     "op7_quality": op7_quality,
+    "op8_substrings": op8_substrings,
     "op9_vectors": op9_vectors,
     "op10_pack": op10_pack,
 }
