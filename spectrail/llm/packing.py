@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,17 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Words whose ids a task remembers; the memory is emptied when full.
-_REMEMBERED = 400_000
+_REMEMBERED = 500_000
+_memory: dict = {}
+_MARKS = string.punctuation
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """A word without the ASCII punctuation at its end, and that; Latin letters as the tokenizer lowers them."""
+    stem = word.rstrip(_MARKS)
+    if not stem or not stem[-1].isalnum():
+        return word, ""
+    return (stem.lower() if max(stem) < "\u0100" else stem), word[len(stem) :]
 
 
 def _tokenizer_path(name: str) -> str:
@@ -38,7 +50,7 @@ def _tokenizer_path(name: str) -> str:
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the ids of each whole text, then ``end_id``, cut every ``capacity``.
 
-    This tokenizer drops white space and treats the words between it alone, so a task encodes each new word once and
+    This tokenizer drops white space and treats the words between it alone, so a worker encodes each new word once and
     remembers its ids. A null text is empty and gives the piece ``[end_id]``.
     """
 
@@ -46,23 +58,34 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(_tokenizer_path(tokenizer))
-        encoder.encode_special_tokens = True
-        known: dict[str, bytes] = {}
+        if tokenizer not in _memory:
+            encoder = Tokenizer.from_file(_tokenizer_path(tokenizer))
+            encoder.encode_special_tokens = True
+            _memory[tokenizer] = (encoder, {}, {})
+        encoder, known, parts = _memory[tokenizer]
         end = end_id.to_bytes(4, "little")
         width = 4 * capacity
 
+        def learn(new: list[str]) -> None:
+            """Encodes what is new of words' stems and of the punctuation behind them; both are tokens of their own."""
+            split = [(w, *_stem(w)) for w in new]
+            unknown = [x for x in {y for _, stem, tail in split for y in (stem, tail)} if x not in parts]
+            for at in range(0, len(unknown), 2000):
+                some = unknown[at : at + 2000]
+                for x, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    parts[x] = np.array(e.ids, "<u4").tobytes()
+            for w, stem, tail in split:
+                known[w] = parts[stem] + parts[tail]
+            if len(parts) > _REMEMBERED:
+                parts.clear()
+
         def ids(text: str) -> bytes:
             words = [w for w in _WHITE.split(text) if w] if _CONTROLS.search(text) else text.split()
-            new = [w for w in set(words) if w not in known]
-            if new:
+            if new := [w for w in set(words) if w not in known]:
                 if len(known) + len(new) > _REMEMBERED:
                     known.clear()
                     new = list(set(words))
-                for at in range(0, len(new), 2000):
-                    part = new[at : at + 2000]
-                    for w, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                learn(new)
             return b"".join([known[w] for w in words] + [end])
 
         for batch in batches:
