@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.llm import language, mixing, neardup, packing, secrets
-from spectrail.llm.tables import read, saved, with_columns_of
+from spectrail.llm.tables import WORD, read, saved, with_columns_of
 
 #: A text whose best language has a smaller mean chance is no text of one language.
 LEAST_SCORE = 0.3
@@ -40,11 +40,14 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Words keep the white space before them, so the part ends behind its last word.
     """
     taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "taken").distinct()
-    joined = docs.join(saved(taken), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
+    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
+    joined = sized.join(saved(taken), same)
     rest = F.col("taken") % F.col("size")
     times = F.concat(F.array_repeat(F.lit(True), F.floor(F.col("taken") / F.col("size")).cast("int")), F.array_repeat(F.lit(False), F.when(rest > 0, 1).otherwise(0)))
     rows = joined.withColumn("_whole", F.explode(times))
-    part = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), rest.cast("string"), F.lit("}")), 0)
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
     return with_columns_of(rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
 
