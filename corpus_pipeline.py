@@ -18,7 +18,7 @@ LEAST_SCORE = 0.3
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or without a language to speak of, go."""
-    found = language.identify(docs, language.train(docs), extra=tuple(docs.columns))
+    found = language.identify(docs, language.train(docs), columns=tuple(docs.columns))
     return with_columns_of(found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectrail.llm.tables import read
 from spectrail.llm.words import slices
@@ -131,17 +132,17 @@ def _sampled(per_text: int):
     return each
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", texts_per_label: int = 700, per_text: int = 3, steps: int = 500) -> tuple[list[str], ByteNet] | None:
-    """Languages and a network, from about ``texts_per_label`` texts of each label (by a hash of the text); None without labelled text.
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", texts_per_label: int = 700, per_text: int = 3, steps: int = 500) -> tuple[list[str], ByteNet] | None:
+    """Languages and a network, from about ``texts_per_label`` texts of each label (by a hash of text and id); None without labelled text.
 
     The driver gets at most about ``texts_per_label * per_text`` windows of each label and one row for each label.
     """
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("hash"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, texts_per_label / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("label")) * 1_000_003)
+    chosen = rows.where(F.pmod("hash", F.lit(1_000_003)) < F.element_at(share, F.col("label")) * 1_000_003).select("label", "text")
     found = chosen.mapInArrow(_sampled(per_text), "label string, window binary").collect()
     found = sorted((r["label"], bytes(r["window"])) for r in found)
     labels = sorted(counts)
@@ -149,27 +150,18 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", text
     return labels, fit(data, np.array([labels.index(k) for k, _ in found]), len(labels), steps)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], ByteNet] | None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *extra, lang_pred, score) for each row: the language of the whole text and its mean chance over the windows.
-
-    ``und`` with score 0 where the text is null or has no letter, or without a model. Only the text is looked at.
-    Repeated rows give repeated results; an empty table gives an empty result.
-    """
-    names = model[0] if model else []
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra), "lang_pred string", "score double"])
-    n_extra = len(extra)
-    net = model[1] if model else None
+def _scored(text_at: int, columns: int, net: ByteNet | None, names: list[str], schema_names: list[str]):
+    """Batches with a text and a flag (whether it has a letter, last) to their first columns, language and score."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, letters = batch.column(1 + n_extra), np.asarray(batch.column(2 + n_extra).fill_null(False))
+            letters = np.asarray(batch.column(batch.num_columns - 1).fill_null(False))
             pred, score = np.full(len(letters), -1), np.zeros(len(letters))
-            for first, to, data, offsets in slices(text, 1 << 18) if net is not None else ():
+            for first, to, data, offsets in slices(batch.column(text_at), 1 << 18) if net is not None else ():
                 made, row, length = windows_of(data, offsets)
                 if not len(row):
                     continue
-                # windows by the hundred, so that what lies between stays in the cache; a very long text is no exception
+                # few windows at a time, so that what lies between stays in the cache; a very long text is no exception
                 chance = np.concatenate([net.probabilities(made[i : i + 64]) for i in range(0, len(made), 64)])
                 total = np.zeros((to - first, len(names)))
                 np.add.at(total, row, chance * length[:, None])
@@ -179,9 +171,23 @@ def identify(docs: DataFrame, model: tuple[list[str], ByteNet] | None, id_col: s
                 pred[at] = total[fine].argmax(1)
                 score[at] = np.clip(total[fine].max(1) / sums[fine], 0, 1)
             labels = pa.array([UNKNOWN if p < 0 else names[p] for p in pred], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + n_extra)), labels, pa.array(score)], ["doc_id", *extra, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(columns)), labels, pa.array(score)], schema_names)
+
+    return each
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *extra, F.col(text_col).alias("_text"), F.col(text_col).rlike(r"\p{L}").alias("_letters"))
+
+def identify(docs: DataFrame, model: tuple[list[str], ByteNet] | None, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*columns, lang_pred, score) for each row: the language of the whole text and its mean chance over the windows.
+
+    ``und`` with score 0 where the text is null or has no letter, or without a model. Only the text is looked at.
+    Repeated rows give repeated results; an empty table gives an empty result. ``columns`` that are called like the results
+    are refused.
+    """
+    if {"lang_pred", "score"} & set(columns):
+        raise ValueError("columns named lang_pred or score would clash with the results")
+    schema = T.StructType([docs.schema[c] for c in columns]).add("lang_pred", "string").add("score", "double")
+    rows = docs.select(*columns, F.col(text_col).alias("_text"), F.col(text_col).rlike(r"\p{L}").alias("_letters"))
+    each = _scored(len(columns), len(columns), model[1] if model else None, model[0] if model else [], schema.names)
     return rows.mapInArrow(each, schema)
 
 
@@ -192,4 +198,4 @@ def held_out(id_col: str = "doc_id"):
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
-    return identify(docs, train(docs.where("not held_out")), extra=("held_out",))
+    return identify(docs, train(docs.where("not held_out")), columns=("doc_id", "held_out"))
