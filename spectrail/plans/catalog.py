@@ -2,5 +2,304 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrail.functions.scalars import digits_within, log_intensity
+from spectrail.operators import calibration, distribution, mapping, registry, spectra, summary
+from spectrail.plans import fixtures as fx
+from spectrail.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FDR, TOLERANCE = 0.01, 0.001
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL over the derived tables."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = f"WITH {fx.SQL}{sql}"
+        return f
+
+    return add
+
+
+_COUNTS = "count(*) AS psm_count, count(DISTINCT peptide) AS peptide_count, count(DISTINCT (peptide, charge)) AS ion_count"
+
+
+def _summary_sql(where: str) -> str:
+    return f"""SELECT * FROM (SELECT {_COUNTS} FROM psms {where}),
+(SELECT count(DISTINCT trim(p)) AS protein_count FROM (SELECT unnest(string_split(proteins, ';')) AS p FROM psms {where}))"""
+
+
+def _fdr_summary(level: str) -> Query:
+    return lambda spark, sf_dir: summary.summarize(fx.psms(spark, sf_dir), FDR, level)
+
+
+for _level, _q in summary.LEVELS.items():
+    query(_summary_sql(f"WHERE {_q} <= 0.01e0"), f"fdr_summary_{_level}")(_fdr_summary(_level))
+
+
+@query("SELECT psm_id, peptide, charge, proteins, peptide_q FROM psms WHERE peptide_q <= 0.01e0")
+def fdr_filter_peptide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.fdr_filter(fx.psms(spark, sf_dir), FDR, "peptide").select("psm_id", "peptide", "charge", "proteins", "peptide_q")
+
+
+@query(_summary_sql(""))
+def unfiltered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.count_all(fx.psms(spark, sf_dir))
+
+
+@query(
+    f"""SELECT label, psm_count, peptide_count, ion_count, protein_count FROM (SELECT concat('file', psm_id % 7) AS label, {_COUNTS} FROM psms WHERE peptide_q <= 0.01e0 GROUP BY 1)
+JOIN (SELECT label, count(DISTINCT trim(p)) AS protein_count FROM (SELECT concat('file', psm_id % 7) AS label, unnest(string_split(proteins, ';')) AS p FROM psms WHERE peptide_q <= 0.01e0) GROUP BY 1) USING (label)"""
+)
+def summary_by_group_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.compare(fx.psms(spark, sf_dir).withColumn("label", F.expr("concat('file', psm_id % 7)")), FDR, "peptide")
+
+
+_KEYS = "cast(regexp_extract(scannr, 'precursor_idx=(\\d+)', 1) AS bigint) AS precursor_idx, cast(regexp_extract(scannr, 'charge=(\\d+)', 1) AS int) AS charge"
+
+
+@query(f"SELECT psm_id, {_KEYS} FROM psms")
+def scan_key_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.scan_keys(fx.psms(spark, sf_dir))
+
+
+@query("SELECT psm_id, trim(p) AS protein FROM (SELECT psm_id, unnest(string_split(proteins, ';')) AS p FROM psms)")
+def protein_unnest_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.protein_names(fx.psms(spark, sf_dir), F.col("psm_id"))
+
+
+_MERGED = f"""
+, keyed AS (SELECT psm_id, {_KEYS} FROM psms WHERE peptide_q <= 0.01e0),
+merged AS (SELECT f.sage_fragment_idx, f.psm_id, f.fragment_mz_experimental, k.precursor_idx, k.charge, p.fragment_spectrum_start, p.fragment_event_cnt, p.charges AS submitted_charges
+  FROM fragments f JOIN keyed k USING (psm_id) LEFT JOIN (SELECT * FROM precursors WHERE fragment_event_cnt > 0) p USING (precursor_idx)),
+groups AS (SELECT precursor_idx, count(*) AS fragment_cnt, any_value(submitted_charges) AS submitted_charges, any_value(fragment_spectrum_start) AS fragment_spectrum_start, any_value(fragment_event_cnt) AS fragment_event_cnt,
+  cast(array_to_string(list_sort(list(DISTINCT cast(charge AS varchar))), '') AS bigint) AS detected_charges FROM merged GROUP BY precursor_idx),
+near AS (SELECT m.precursor_idx, m.sage_fragment_idx, m.psm_id, l.fragment_idx AS pmsms_fragment_idx, l.mz - m.fragment_mz_experimental AS mz_delta,
+  row_number() OVER (PARTITION BY m.sage_fragment_idx, m.psm_id ORDER BY abs(l.mz - m.fragment_mz_experimental), l.mz, l.fragment_idx) AS n
+  FROM merged m JOIN library l ON l.fragment_idx >= m.fragment_spectrum_start AND l.fragment_idx < m.fragment_spectrum_start + m.fragment_event_cnt),
+hits AS (SELECT * EXCLUDE (n) FROM near WHERE n = 1 AND abs(mz_delta) <= cast(0.001 AS float)),
+mapped AS (SELECT precursor_idx, detected_charges, submitted_charges, cast(coalesce(sum(mapped_cnt) OVER (ORDER BY precursor_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS mapped_idx, mapped_cnt
+  FROM (SELECT precursor_idx, count(*) AS mapped_cnt FROM hits GROUP BY precursor_idx) JOIN groups USING (precursor_idx))
+"""
+
+
+def _merged(spark: SparkSession, sf_dir: str, precursors: DataFrame | None = None) -> DataFrame:
+    passing = summary.fdr_filter(fx.psms(spark, sf_dir), FDR, "peptide")
+    return mapping.resolve(fx.fragments(spark, sf_dir), passing, fx.precursors(spark, sf_dir) if precursors is None else precursors)
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.nearest(_merged(spark, sf_dir), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), TOLERANCE)
+
+
+@query(_MERGED + "SELECT sage_fragment_idx, psm_id, precursor_idx, charge, fragment_spectrum_start, fragment_event_cnt, submitted_charges FROM merged")
+def fragment_psm_precursor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("sage_fragment_idx", "psm_id", "precursor_idx", "charge", "fragment_spectrum_start", "fragment_event_cnt", "submitted_charges")
+
+
+@query(_MERGED + "SELECT DISTINCT precursor_idx FROM merged WHERE precursor_idx % 10 = 3")
+def unsubmitted_precursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.unsubmitted(_merged(spark, sf_dir, fx.precursors(spark, sf_dir).where("precursor_idx % 10 <> 3")))
+
+
+@query(_MERGED + "SELECT * FROM groups")
+def charge_digit_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.precursor_groups(_merged(spark, sf_dir))
+
+
+@query(
+    _MERGED
+    + """SELECT precursor_idx, detected_charges, submitted, len(list_filter(string_split(cast(detected_charges AS varchar), ''), lambda d: NOT contains(cast(submitted AS varchar), d))) = 0 AS good
+FROM (SELECT precursor_idx, detected_charges, CASE WHEN precursor_idx % 2 = 0 THEN 23 ELSE 234 END AS submitted FROM groups)"""
+)
+def charge_digit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapping.precursor_groups(_merged(spark, sf_dir)).selectExpr("precursor_idx", "detected_charges", "CASE WHEN precursor_idx % 2 = 0 THEN 23 ELSE 234 END AS submitted")
+    return rows.withColumn("good", digits_within(F.col("detected_charges"), F.col("submitted")))
+
+
+@query(_MERGED + "SELECT precursor_idx, sage_fragment_idx, psm_id, pmsms_fragment_idx, mz_delta FROM hits")
+def nearest_fragment_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir)
+
+
+@query(_MERGED + "SELECT * FROM mapped")
+def mapped_precursor_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.mapped_counts(_hits(spark, sf_dir), mapping.precursor_groups(_merged(spark, sf_dir)))
+
+
+@query(_MERGED + "SELECT pmsms_fragment_idx, sage_fragment_idx, mapped_idx + row_number() OVER (PARTITION BY precursor_idx ORDER BY sage_fragment_idx, psm_id) - 1 AS mapping_row, precursor_idx FROM hits JOIN mapped USING (precursor_idx)")
+def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits(spark, sf_dir)
+    return mapping.mapping_rows(hits, mapping.mapped_counts(hits, mapping.precursor_groups(_merged(spark, sf_dir))))
+
+
+@query(_MERGED + "SELECT i * 0.01e0 AS quantile, cast(round(quantile_cont(cast(mz_delta AS double), [LEAST(1.0e0, x * 0.01e0) FOR x IN range(101)])[i + 1], 6) AS double) AS mz_delta FROM hits, range(101) r(i) GROUP BY i")
+def mz_delta_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.delta_quantiles(_hits(spark, sf_dir)).select("quantile", F.round(F.col("mz_delta").cast("double"), 6).alias("mz_delta"))
+
+
+_FINITE = "isfinite(score)"
+_LOG = "log10(1.0e0 + intensity)"
+
+
+@query(f"SELECT min(score) AS score_min, max(score) AS score_max, count(*) AS n FROM library WHERE {_FINITE}")
+def score_range_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distribution.ranges(fx.library(spark, sf_dir), intensity=None)
+
+
+@query(f"SELECT min(score) AS score_min, max(score) AS score_max, round(min({_LOG}), 9) AS log_min, round(max({_LOG}), 9) AS log_max, count(*) AS n FROM library WHERE {_FINITE} AND {_LOG} >= 3.0e0")
+def score_range_thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distribution.ranges(fx.library(spark, sf_dir), 3.0)
+    return rows.select("score_min", "score_max", F.round("log_min", 9).alias("log_min"), F.round("log_max", 9).alias("log_max"), "n")
+
+
+def _hist_sql(where: str, bins: int) -> str:
+    return f"""
+, good AS (SELECT score AS x FROM library WHERE {where}),
+r AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / {bins}.0e0 AS step FROM good),
+e AS (SELECT cast(k AS int) AS bin, lo + k * step AS low, CASE WHEN k = {bins - 1} THEN hi ELSE lo + (k + 1) * step END AS high FROM r, range({bins}) t(k))
+SELECT bin, low, high, count(x) AS count FROM e LEFT JOIN good ON x >= low AND (x < high OR (bin = {bins - 1} AND x = high)) GROUP BY bin, low, high"""
+
+
+@query(_hist_sql(_FINITE, 100))
+def score_hist_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = fx.library(spark, sf_dir)
+    return distribution.histogram(lib, F.col("score"), distribution.score_axis(lib))
+
+
+@query(_hist_sql(f"{_FINITE} AND {_LOG} >= 3.0e0", 100))
+def score_hist_1d_thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = fx.library(spark, sf_dir)
+    return distribution.histogram(distribution.passing(lib, 3.0), F.col("score"), distribution.score_axis(lib, 3.0))
+
+
+def _bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
+    """The number of edges at or below x, less one; the last edge belongs to the last bin."""
+    edges = f"[CASE WHEN k = {bins} THEN {hi} ELSE {lo} + k * (({hi} - {lo}) / {bins}.0e0) END FOR k IN range({bins + 1})]"
+    return f"cast(least(len(list_filter({edges}, lambda v: v <= {x})) - 1, {bins - 1}) AS int)"
+
+
+_GRID = f"""
+, good AS (SELECT fragment_idx, score AS x, {_LOG} AS y FROM library WHERE {_FINITE}),
+r AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM good),
+cells AS (SELECT fragment_idx, {_bin_sql('y', 'y0', 'y1', 200)} AS log_bin, {_bin_sql('x', 'x0', 'x1', 200)} AS score_bin FROM good, r)
+"""
+
+
+@query(_GRID + "SELECT log_bin, score_bin, count(*) AS count FROM cells GROUP BY 1, 2")
+def score_intensity_hist_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = fx.library(spark, sf_dir)
+    return distribution.histogram_2d(lib, *distribution.axes(lib))
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, groups = _hits(spark, sf_dir), mapping.precursor_groups(_merged(spark, sf_dir))
+    return distribution.matched_peaks(fx.library(spark, sf_dir), hits, groups)
+
+
+@query(
+    _MERGED
+    + _GRID
+    + """, a AS (SELECT score_bin, count(*) AS all_count FROM cells GROUP BY 1),
+m AS (SELECT score_bin, count(*) AS matched_count FROM hits JOIN cells ON pmsms_fragment_idx = fragment_idx GROUP BY 1),
+b AS (SELECT score_bin, coalesce(all_count, 0) AS all_count, coalesce(matched_count, 0) AS matched_count, coalesce(all_count, 0) - coalesce(matched_count, 0) AS unmatched_count FROM a FULL JOIN m USING (score_bin)),
+t AS (SELECT sum(all_count) AS ta, sum(matched_count) AS tm, sum(greatest(unmatched_count, 0)) AS tu FROM b), w AS (SELECT (x1 - x0) / 200.0e0 AS width FROM r)
+SELECT score_bin, all_count, matched_count, unmatched_count, round(all_count / (ta * width), 9) AS all_density, round(CASE WHEN tm > 0 THEN matched_count / (tm * width) ELSE 0.0e0 END, 9) AS matched_density,
+  round(CASE WHEN tu > 0 THEN greatest(unmatched_count, 0) / (tu * width) ELSE 0.0e0 END, 9) AS unmatched_density FROM b, t, w"""
+)
+def matched_vs_unmatched_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distribution.slice_data("all", fx.library(spark, sf_dir), _matched(spark, sf_dir))
+    return found.scores.select("score_bin", "all_count", "matched_count", "unmatched_count", *[F.round(f"{n}_density", 9).alias(f"{n}_density") for n in ("all", "matched", "unmatched")])
+
+
+@query(_MERGED + _GRID + f"SELECT detected_charges AS charge, {_bin_sql('x', 'x0', 'x1', 50)} AS bin, count(*) AS count FROM hits JOIN good ON pmsms_fragment_idx = fragment_idx JOIN groups USING (precursor_idx), r GROUP BY 1, 2")
+def score_density_by_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score, _ = distribution.axes(fx.library(spark, sf_dir))
+    return distribution.facets(_matched(spark, sf_dir), distribution.Axis(score.low, score.high, distribution.BINS_FACET, score.n))
+
+
+@query(f", t AS (SELECT quantile_cont({_LOG}, 0.3) AS q FROM library WHERE {_FINITE}) SELECT round(q, 9) AS threshold, count(*) AS n, sum(score) AS score_sum FROM library, t WHERE {_FINITE} AND {_LOG} >= q GROUP BY q")
+def intensity_q30_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = fx.library(spark, sf_dir)
+    q = distribution.intensity_quantile(lib)
+    return distribution.passing(lib, q).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum")).select(F.round(F.lit(q), 9).alias("threshold"), "n", "score_sum")
+
+
+@query(_MERGED + "SELECT mapped_idx + i AS mapping_row, detected_charges AS charge FROM mapped, LATERAL (SELECT unnest(range(mapped_cnt)) AS i)")
+def charge_per_mapping_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distribution.charge_of_rows(mapping.mapped_counts(_hits(spark, sf_dir), mapping.precursor_groups(_merged(spark, sf_dir))))
+
+
+_BEST = "max(peptide_count) OVER (PARTITION BY dataset, cfg, search_engine ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)"
+
+
+@query(f"SELECT id, peptide_count, {_BEST} AS previous_best FROM runs")
+def runs_previous_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.previous_best(fx.runs(spark, sf_dir)).select("id", "peptide_count", "previous_best")
+
+
+_RUN = "id, status, regression, message"
+
+
+@query(
+    """SELECT r.id, CASE WHEN k.id IS NOT NULL AND r.id <> 7 AND r.status = 'unreviewed' THEN 'bested' ELSE r.status END AS status, 0 AS regression,
+CASE WHEN k.id IS NOT NULL AND r.id <> 7 AND r.status = 'unreviewed' THEN 'a better run' END AS message
+FROM runs r LEFT JOIN (SELECT * FROM runs WHERE id = 7) k ON r.dataset = k.dataset AND r.cfg = k.cfg AND r.search_engine = k.search_engine"""
+)
+def runs_mark_bested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.bested(registry.migrated(fx.runs(spark, sf_dir)), 7, "a better run").select("id", "status", "regression", "message")
+
+
+@query("SELECT id, CASE WHEN id = 4 THEN 'reviewed' ELSE status END AS status, CASE WHEN id = 4 THEN 1 ELSE 0 END AS regression, CASE WHEN id = 4 THEN 'checked' END AS message FROM runs")
+def runs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.reviewed(registry.migrated(fx.runs(spark, sf_dir)), 4, 1, "checked").select("id", "status", "regression", "message")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'reviewed' ELSE 'unreviewed' END AS status, 0 AS regression, CASE WHEN id % 5 = 0 THEN 'known good' END AS message FROM runs")
+def runs_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legacy = fx.runs(spark, sf_dir).drop("status").withColumns({"accepted": F.expr("CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END"), "acceptance_reason": F.lit("known good")})
+    return registry.migrated(legacy).select("id", "status", "regression", "message")
+
+
+ORACLES_LINE = f"SELECT o_orderkey AS id, {fx.LOG} FROM orders"
+
+
+@query(f"SELECT id, {', '.join(f'''try_cast(regexp_extract(line, '{m}=(\\d+)', 1) AS bigint) AS {m}''' for m in tables.METRICS)} FROM ({ORACLES_LINE})")
+def log_metrics_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.log_metrics_of(fx.log_lines(spark, sf_dir), "line").select("id", *tables.METRICS)
+
+
+@query("SELECT concat('S', cast(floor(fragment_idx / 20.0e0) AS bigint)) AS title, cast(max(intensity) AS double) AS max_mz FROM library GROUP BY 1")
+def spectra_max_mz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.library(spark, sf_dir).selectExpr("cast(floor(fragment_idx / 20.0e0) AS bigint) AS s", "concat(intensity, ' ', fragment_idx) AS line")
+    text = lines.groupBy("s").agg(F.collect_list("line").alias("lines"))
+    records = text.select(F.concat(F.lit("BEGIN IONS\nTITLE=S"), "s", F.lit("\nCHARGE=2+\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("spectrum"))
+    return spectra.max_fragment_mz(records)
+
+
+@query("SELECT min(precursor_ppm) AS precursor_ppm_min, max(precursor_ppm) AS precursor_ppm_max, min(fragment_ppm) AS fragment_ppm_min, max(fragment_ppm) AS fragment_ppm_max FROM psms")
+def calibration_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.ppm_ranges(fx.psms(spark, sf_dir))
+
+
+@query()
+def calibration_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = calibration.split(fx.psms(spark, sf_dir))
+    found = calibration.spline(train, "precursor_ppm").predict(test)
+    inside = F.col("precursor_ppm").between(F.col("low"), F.col("high"))
+    return found.agg(F.avg(F.abs(F.col("precursor_ppm") - F.col("prediction"))).alias("mae"), F.avg(inside.cast("double")).alias("within_band"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT fragment_idx, round({_LOG}, 9) AS log_intensity FROM library")
+def log_intensity_of_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.library(spark, sf_dir).select("fragment_idx", F.round(log_intensity(F.col("intensity")), 9).alias("log_intensity"))
