@@ -105,7 +105,7 @@ def nearest(merged: DataFrame, precursors: DataFrame, library: DataFrame, tolera
     if tolerance < 0:
         joined = queries.join(peaks, "precursor_idx").where(F.lit(False))
     elif tolerance == 0:
-        joined = queries.join(peaks, (queries["precursor_idx"] == peaks["precursor_idx"]) & (F.col("exp_mz") == F.col("lib_mz"))).drop(peaks["precursor_idx"])
+        joined = queries.withColumn("same_mz", F.col("exp_mz")).join(peaks.withColumn("same_mz", F.col("lib_mz")), ["precursor_idx", "same_mz"])
     else:
         bucket = lambda c: F.floor(F.col(c).cast("double") / F.lit(2.0 * tolerance))
         own = queries.withColumn("bucket", F.explode(F.array(bucket("exp_mz") - 1, bucket("exp_mz"), bucket("exp_mz") + 1)))
