@@ -101,7 +101,7 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing = m[1] or m[4]
-        if name in _BLOCK or name in _RAW:
+        if name in _BLOCK:
             end()
         if not closing:
             if name in _RAW:

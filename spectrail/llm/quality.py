@@ -128,7 +128,7 @@ def _certified(risk: float, level: float):
     return each
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
     """(stratum, rule, cutoff, bound, n_good): certified cutoffs in steps of 1 / ``STEPS``.
 
     With a chance of 1 - ``level``, all rules together reject at most ``risk`` of the good texts in every stratum. Labelled
@@ -157,7 +157,7 @@ def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("_s", "cutoffs")
 
 
-def quality(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Counts, base_failed, reasons and kept for each row of ``docs``.
 
     Null and empty texts have no words and fail the base. Repeated rows give repeated results; a null stratum counts as one.
