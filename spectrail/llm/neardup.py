@@ -140,34 +140,58 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, t: int = COO
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open_links(inside: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``links`` and those found by the prefix filter between components that share a bucket of three or more."""
+def _open_buckets(inside: DataFrame, links: DataFrame) -> DataFrame:
+    """Of buckets of three or more that hold several components: (bucket, doc_id, n_shingles, component)."""
     groups = components(links)
-    labelled = inside.where("n > 2").join(groups, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    labelled = inside.join(groups, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     labelled = saved(labelled)
-    mixed_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    # as a table, so that the join below deals both of its sides and can split a large bucket
-    left = saved(labelled.join(saved(mixed_), "bucket", "left_semi").select("doc_id", "component").distinct())
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    # as a table, so that the join deals both of its sides and can split a large bucket
+    return saved(labelled.join(saved(several), "bucket", "left_semi"))
+
+
+def _open_links(inside: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``links`` and further ones between components that share a bucket of three or more.
+
+    First each open bucket's smallest set, which has least of its own beside what they share, is compared with the
+    members of other components. What then stays open goes through the prefix filter.
+    """
+    left = _open_buckets(inside.where("n > 2"), links)
     if left.isEmpty():
         return links
-    items = left.join(sets, "doc_id").select("doc_id", "component", F.explode("items").alias("item"))
+    smallest = saved(left.groupBy("bucket").agg(F.min(F.struct("n_shingles", "doc_id", "component")).alias("s")).select("bucket", F.col("s.doc_id").alias("a"), F.col("s.component").alias("ca")))
+    pairs = left.join(smallest, "bucket").where("component <> ca").select("a", F.col("doc_id").alias("b")).distinct()
+    links = saved(links.union(_verified(saved(pairs), sets, percent)))
+    left = _open_buckets(left.drop("component"), links)
+    if left.isEmpty():
+        return links
+    return links.union(_prefix_links(left.select("doc_id", "component").distinct(), sets, percent))
+
+
+def _prefix_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between documents of different components in ``left`` (doc_id, component), by an exact prefix filter.
+
+    Items are ordered from rare to common. Sets as alike as asked share an item among the first n - ceil(p n) + 1 of both,
+    and behind the first shared one there is room for as many shared items as they need.
+    """
+    left = saved(left)
+    items = left.join(sets, "doc_id").select(F.explode("items").alias("item"))
     counts = saved(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    # a set's prefix: all but the n - ceil(p n) + 1 rarest can be left out; items of one document come first and match none
+    # items of one document come first and match none: only their number matters
     common = left.join(sets, "doc_id").select("doc_id", "component", F.size("items").alias("n"), F.explode("items").alias("item")).join(counts, "item")
     ranked = common.groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("shared"))
-    single = F.col("n") - F.size("shared")
+    ranked = ranked.withColumn("single", F.col("n") - F.size("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    tokens = ranked.where(prefix > single).select("doc_id", "component", "n", F.explode(F.slice("shared", F.lit(1), prefix - single)).alias("s"))
-    tokens = saved(tokens.select("doc_id", "component", "n", F.col("s.item").alias("item")))
+    ranked = ranked.where(prefix > F.col("single")).select("doc_id", "component", "n", "single", F.posexplode(F.slice("shared", F.lit(1), prefix - F.col("single"))).alias("p", "s"))
+    tokens = saved(ranked.select("doc_id", "component", "n", (F.col("n") - F.col("single") - F.col("p")).alias("rest"), F.col("s.item").alias("item")))
     both = tokens.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("item")
     tokens = saved(tokens.join(saved(both), "item", "left_semi"))
-    if tokens.isEmpty():
-        return links
-    one = tokens.select("item", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    two = tokens.select("item", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near_size = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    pairs = one.join(two, (one["item"] == two["item"]) & (F.col("ca") < F.col("cb")) & near_size).select("a", "b").distinct()
-    return links.union(_verified(saved(pairs), sets, percent))
+    one = tokens.select("item", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    two = tokens.select("item", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    # 100 s >= p (na + nb - s) for s shared items, of which there are at most as many as the shorter rest
+    room = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
+    pairs = one.join(two, (one["item"] == two["item"]) & (F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
+    return _verified(saved(pairs), sets, percent)
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
