@@ -115,15 +115,24 @@ def nearest(merged: DataFrame, precursors: DataFrame, library: DataFrame, tolera
     return found.select("precursor_idx", "sage_fragment_idx", "psm_id", F.col("best.fragment_idx").alias("pmsms_fragment_idx"), F.col("best.mz_delta").alias("mz_delta"))
 
 
+#: Numbers of precursors that share a bucket of the running sum.
+BUCKET = 65_536
+
+
 def mapped_counts(hits: DataFrame, groups: DataFrame) -> DataFrame:
     """The precursors that have hits: charges, and place and number of their rows in the mapping.
 
-    The running sum goes over one row for each such precursor.
+    The running sum goes over buckets of precursor numbers first and over the precursors of each bucket then, so only the
+    sums of buckets meet in one task.
     """
-    counts = hits.groupBy("precursor_idx").agg(F.count(F.lit(1)).alias("mapped_cnt"))
-    before = Window.orderBy("precursor_idx").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("mapped_idx", F.coalesce(F.sum("mapped_cnt").over(before), F.lit(0)))
-    return counts.join(groups, "precursor_idx").select("precursor_idx", "detected_charges", "submitted_charges", "mapped_idx", "mapped_cnt")
+    bucket = F.floor(F.col("precursor_idx") / F.lit(BUCKET)).alias("_bucket")
+    counts = hits.groupBy("precursor_idx").agg(F.count(F.lit(1)).alias("mapped_cnt")).select("*", bucket)
+    before = lambda w: F.coalesce(F.sum("mapped_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = hits.select(bucket).groupBy("_bucket").agg(F.count(F.lit(1)).alias("mapped_cnt"))
+    starts = sums.select("_bucket", before(Window.orderBy("_bucket")).alias("_start"))
+    inside = counts.withColumn("_inside", before(Window.partitionBy("_bucket").orderBy("precursor_idx")))
+    placed = inside.join(starts, "_bucket").withColumn("mapped_idx", F.col("_start") + F.col("_inside"))
+    return placed.join(groups, "precursor_idx").select("precursor_idx", "detected_charges", "submitted_charges", "mapped_idx", "mapped_cnt")
 
 
 def mapping_rows(hits: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -93,3 +93,15 @@ def test_offsets_and_rows_agree(spark):
     rows = found.mapping.orderBy("mapping_row").collect()
     assert [r.mapping_row for r in rows] == list(range(10))
     assert found.precursors.first().asDict() == {"precursor_idx": 10, "detected_charges": 2, "submitted_charges": 234, "mapped_idx": 0, "mapped_cnt": 10}
+
+
+def test_offsets_run_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "BUCKET", 3)
+    r = random.Random(8)
+    wanted = {i: r.randint(1, 4) for i in r.sample(range(40), 25)}
+    hits = spark.createDataFrame([(i,) for i, n in wanted.items() for _ in range(n)], "precursor_idx long")
+    groups = spark.createDataFrame([(i, 2, 2) for i in wanted], "precursor_idx long, detected_charges long, submitted_charges long")
+    at = 0
+    for row in mapping.mapped_counts(hits, groups).orderBy("precursor_idx").collect():
+        assert (row.mapped_idx, row.mapped_cnt) == (at, wanted[row.precursor_idx])
+        at += row.mapped_cnt
