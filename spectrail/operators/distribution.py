@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import textwrap
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import bin_of, edges, finite, log_intensity, widened
@@ -108,10 +109,13 @@ def marginal(cells: DataFrame, key: str, *counts: str) -> DataFrame:
 
 
 def density(counts: DataFrame, count: str, width: float, out: str = "density") -> DataFrame:
-    """Adds count / (total * width), zeros where the total is zero; counts below zero are taken as none."""
+    """Adds count / (total * width), zeros where the total is zero; counts below zero are taken as none.
+
+    The total is a window over all rows, which are as many as the axis has bins.
+    """
     positive = F.greatest(F.col(count), F.lit(0))
-    total = counts.agg(F.sum(positive).alias("_total"))  # one row
-    return counts.crossJoin(total).withColumn(out, F.when(F.coalesce("_total", F.lit(0)) > 0, positive / (F.col("_total") * F.lit(width))).otherwise(F.lit(0.0))).drop("_total")
+    total = F.sum(positive).over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("_total", total).withColumn(out, F.when(F.col("_total") > 0, positive / (F.col("_total") * F.lit(width))).otherwise(F.lit(0.0))).drop("_total")
 
 
 def facets(matched: DataFrame, axis: Axis, score: str = "score", charge: str = "charge") -> DataFrame:
@@ -141,6 +145,17 @@ def smoothed(cells: DataFrame, axis_y: Axis, axis_x: Axis, count: str = "count",
     return rows.select("log_bin", "score_bin", "smooth")
 
 
+def drop_message(what: str, before: int, after: int) -> str | None:
+    """A line about dropped rows; None where all stayed."""
+    return None if before == after else f"{what}: {before - after} of {before} dropped, {after} left"
+
+
+def plot_label(method: str, params: str, threshold: float | None = None, width: int = 80) -> str:
+    """A label of method and parameters, in lines of ``width``, with the slice's threshold to three places."""
+    text = " | ".join(x for x in (method, params, None if threshold is None else f"log10(1 + intensity) >= {threshold:.3f}") if x)
+    return "\n".join(textwrap.wrap(text, width))
+
+
 @dataclass
 class Slice:
     """The plot data of one slice of the peaks."""

@@ -150,6 +150,14 @@ def delta_quantiles(hits: DataFrame) -> DataFrame:
     return found.select(each.alias("x")).select(F.col("x.quantile").alias("quantile"), F.col("x.d").cast("float").alias("mz_delta"))
 
 
+def match_metrics(merged: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row: fragments, those of a known precursor, those matched, and the latter's share of all in percent (null of none)."""
+    found = hits.select("sage_fragment_idx", "psm_id", F.lit(1).alias("_hit"))
+    joined = merged.join(found, ["sage_fragment_idx", "psm_id"], "left")
+    counts = joined.agg(F.count(F.lit(1)).alias("fragments"), F.count_if(F.col("submitted_charges").isNotNull()).alias("resolved"), F.count("_hit").alias("matched"))
+    return counts.withColumn("matched_percent", F.when(F.col("fragments") > 0, 100.0 * F.col("matched") / F.col("fragments")))
+
+
 @dataclass
 class MappingTables:
     mapping: DataFrame

@@ -303,3 +303,46 @@ def calibration_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT fragment_idx, round({_LOG}, 9) AS log_intensity FROM library")
 def log_intensity_of_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.library(spark, sf_dir).select("fragment_idx", F.round(log_intensity(F.col("intensity")), 9).alias("log_intensity"))
+
+
+@query(_MERGED + "SELECT count(*) AS fragments, count(m.submitted_charges) AS resolved, count(h.pmsms_fragment_idx) AS matched, 100.0e0 * count(h.pmsms_fragment_idx) / count(*) AS matched_percent FROM merged m LEFT JOIN hits h USING (sage_fragment_idx, psm_id)")
+def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.match_metrics(_merged(spark, sf_dir), _hits(spark, sf_dir))
+
+
+_Q30 = f"""
+, t AS (SELECT quantile_cont({_LOG}, 0.3) AS q FROM library WHERE {_FINITE}),
+good AS (SELECT fragment_idx, score AS x, {_LOG} AS y FROM library, t WHERE {_FINITE} AND {_LOG} >= q),
+r AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM good),
+cells AS (SELECT fragment_idx, {_bin_sql('y', 'y0', 'y1', 200)} AS log_bin, {_bin_sql('x', 'x0', 'x1', 200)} AS score_bin FROM good, r),
+a AS (SELECT score_bin, count(*) AS all_count FROM cells GROUP BY 1),
+m AS (SELECT score_bin, count(*) AS matched_count FROM hits JOIN cells ON pmsms_fragment_idx = fragment_idx GROUP BY 1)
+SELECT score_bin, coalesce(all_count, 0) AS all_count, coalesce(matched_count, 0) AS matched_count, coalesce(all_count, 0) - coalesce(matched_count, 0) AS unmatched_count FROM a FULL JOIN m USING (score_bin)"""
+
+
+@query(_MERGED + _Q30)
+def q30_score_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = fx.library(spark, sf_dir)
+    found = distribution.slice_data("q30", lib, _matched(spark, sf_dir), distribution.intensity_quantile(lib))
+    return found.scores.select("score_bin", "all_count", "matched_count", "unmatched_count")
+
+
+def _kernel_sql(sigma: float = 2.0, reach: int = 8) -> str:
+    return f"(SELECT d, exp(-0.5e0 * pow(d / {sigma}e0, 2)) / sum(exp(-0.5e0 * pow(d / {sigma}e0, 2))) OVER () AS w FROM range(-{reach}, {reach + 1}) k(d))"
+
+
+def _mirror_sql(key: str, n: int = 200) -> str:
+    to = f"(({key} + d) % {2 * n} + {2 * n}) % {2 * n}"
+    return f"CASE WHEN {to} >= {n} THEN {2 * n - 1} - {to} ELSE {to} END"
+
+
+@query(
+    _GRID
+    + f""", c AS (SELECT log_bin, score_bin, cast(count(*) AS double) AS v FROM cells GROUP BY 1, 2), k AS (SELECT * FROM {_kernel_sql()}),
+s AS (SELECT {_mirror_sql('log_bin')} AS log_bin, score_bin, sum(v * w) AS v FROM c, k GROUP BY 1, 2)
+SELECT log_bin, {_mirror_sql('score_bin')} AS score_bin, round(sum(v * w), 8) AS smooth FROM s, k GROUP BY 1, 2"""
+)
+def smoothed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = fx.library(spark, sf_dir)
+    score, log = distribution.axes(lib)
+    return distribution.smoothed(distribution.histogram_2d(lib, score, log), log, score).select("log_bin", "score_bin", F.round("smooth", 8).alias("smooth"))

@@ -66,3 +66,9 @@ def test_smoothing_keeps_the_sum(spark):
     axis = d.Axis(0.0, 1.0, 20, 1)
     cells = spark.createDataFrame([(0, 0, 4), (10, 19, 6)], "log_bin int, score_bin int, count long")
     assert abs(d.smoothed(cells, axis, axis).agg(F.sum("smooth")).first()[0] - 10) < 1e-9
+
+
+def test_labels_and_messages():
+    assert d.drop_message("scores", 5, 5) is None and "2 of 5" in d.drop_message("scores", 5, 3)
+    label = d.plot_label("method", " | ".join(f"k{i}={i}" for i in range(40)), 1.23456)
+    assert label.endswith("1.235") and max(map(len, label.split("\n"))) <= 80
