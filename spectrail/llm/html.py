@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.llm.tables import read
+from spectrail.llm.tables import read, text_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -443,7 +443,7 @@ def extract(pages: DataFrame, net: Labeller, least: float = 0.5, id_col: str = "
                 counts = [len(p) for p in pages_]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int32()), pa.array(mains, pa.int32())], [x.split()[0] for x in _TEXTS.split(", ")])
 
-    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col)).mapInArrow(each, _TEXTS)
+    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col)).transform(text_batches).mapInArrow(each, _TEXTS)
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

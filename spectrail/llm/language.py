@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectrail.llm.tables import read
+from spectrail.llm.tables import read, text_batches
 from spectrail.llm.words import slices
 
 WINDOW, STRIDE, EMBED, FILTERS = 256, 4, 8, 16
@@ -143,7 +143,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, texts_per_label / n))])
     chosen = rows.where(F.pmod("hash", F.lit(1_000_003)) < F.element_at(share, F.col("label")) * 1_000_003).select("label", "text")
-    found = chosen.mapInArrow(_sampled(per_text), "label string, window binary").collect()
+    found = chosen.transform(text_batches).mapInArrow(_sampled(per_text), "label string, window binary").collect()
     found = sorted((r["label"], bytes(r["window"])) for r in found)
     labels = sorted(counts)
     data = np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, WINDOW)
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: tuple[list[str], ByteNet] | None, text_col:
     schema = T.StructType([docs.schema[c] for c in columns]).add("lang_pred", "string").add("score", "double")
     rows = docs.select(*columns, F.col(text_col).alias("_text"), F.col(text_col).rlike(r"\p{L}").alias("_letters"))
     each = _scored(len(columns), len(columns), model[1] if model else None, model[0] if model else [], schema.names)
-    return rows.mapInArrow(each, schema)
+    return rows.transform(text_batches).mapInArrow(each, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.llm.tables import components, read, saved
+from spectrail.llm.tables import components, read, saved, text_batches
 from spectrail.llm.words import mixed, shingles, slices, span_hashes, words
 
 #: Coordinates, and coordinates in a band: at a similarity of 0.8, a pair shares no band in 5 of 10**8 cases.
@@ -81,7 +81,7 @@ def sketch_documents(docs: DataFrame, k: int, t: int = COORDINATES, band: int =
                 steps = np.concatenate([[0], np.cumsum(np.where(has, t // band, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(counts.astype(np.int64)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.ListArray.from_arrays(pa.array(steps), flat)], ["doc_id", "n_shingles", "set_lo", "set_hi", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, _PRINTS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(text_batches).mapInArrow(each, _PRINTS)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -94,7 +94,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 steps = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.ListArray.from_arrays(pa.array(steps), pa.array(value.view(np.int64)))], ["doc_id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, items array<long>")
+    return docs.select("doc_id", "text").transform(text_batches).mapInArrow(each, "doc_id long, items array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

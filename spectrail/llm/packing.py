@@ -20,19 +20,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.llm.tables import bucketed_before, read, saved
+from spectrail.llm.tables import bucketed_before, read, saved, text_batches
 
 CAPACITY = 2048
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Python's split() also cuts at these controls, which the tokenizer keeps.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Words whose ids a task remembers; the memory is emptied when full.
-_REMEMBERED = 500_000
+#: Words whose ids a worker keeps for good, the first ones that it meets, among them the frequent ones, and how many more
+#: it keeps until it drops those.
+_KEPT, _RECENT = 120_000, 60_000
 _memory: dict = {}
 _MARKS = string.punctuation
 
 
+class Memory(dict):
+    """A dictionary that stays small: what comes when it is full is dropped together, time and again."""
+
+    def __init__(self):
+        super().__init__()
+        self.recent: list[str] = []
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        if len(self) >= _KEPT:
+            self.recent += [x for x in found if x not in self]
+        self.update(found)
+
+    def shrink(self) -> None:
+        if len(self.recent) > _RECENT:
+            for x in self.recent:
+                self.pop(x, None)
+            self.recent = []
+
+
 def _stem(word: str) -> tuple[str, str]:
     """A word without the ASCII punctuation at its end, and that; Latin letters as the tokenizer lowers them."""
     stem = word.rstrip(_MARKS)
@@ -61,30 +81,37 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity
         if tokenizer not in _memory:
             encoder = Tokenizer.from_file(_tokenizer_path(tokenizer))
             encoder.encode_special_tokens = True
-            _memory[tokenizer] = (encoder, {}, {})
-        encoder, known, parts = _memory[tokenizer]
+            ends = np.zeros(encoder.get_vocab_size(), bool)
+            ends[[i for x, i in encoder.get_vocab().items() if x.endswith("</w>")]] = True
+            _memory[tokenizer] = (encoder, ends, Memory(), Memory())
+        encoder, ends_word, known, parts = _memory[tokenizer]
         end = end_id.to_bytes(4, "little")
         width = 4 * capacity
 
         def learn(new: list[str]) -> None:
             """Encodes what is new of words' stems and of the punctuation behind them; both are tokens of their own."""
+            parts.shrink()
             split = [(w, *_stem(w)) for w in new]
             unknown = [x for x in {y for _, stem, tail in split for y in (stem, tail)} if x not in parts]
-            for at in range(0, len(unknown), 2000):
-                some = unknown[at : at + 2000]
-                for x, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    parts[x] = np.array(e.ids, "<u4").tobytes()
-            for w, stem, tail in split:
-                known[w] = parts[stem] + parts[tail]
-            if len(parts) > _REMEMBERED:
-                parts.clear()
+            # Latin letters alone are one token sequence that ends with a word's end, so many can be encoded as one text
+            plain = [x for x in unknown if x.isalpha() and max(x) < "\u0250"]
+            for at in range(0, len(plain), 4000):
+                some = plain[at : at + 4000]
+                found = np.array(encoder.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+                stops = np.flatnonzero(ends_word[found]) + 1
+                if len(stops) == len(some):
+                    data, stops = found.tobytes(), [0, *(4 * stops).tolist()]
+                    parts.learn({x: data[i:j] for x, i, j in zip(some, stops, stops[1:], strict=False)})
+            others = [x for x in unknown if x not in parts]
+            for at in range(0, len(others), 2000):
+                some = others[at : at + 2000]
+                parts.learn({x: np.array(e.ids, "<u4").tobytes() for x, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True)})
+            known.learn({w: parts[stem] + parts[tail] for w, stem, tail in split})
 
         def ids(text: str) -> bytes:
+            known.shrink()
             words = [w for w in _WHITE.split(text) if w] if _CONTROLS.search(text) else text.split()
             if new := [w for w in set(words) if w not in known]:
-                if len(known) + len(new) > _REMEMBERED:
-                    known.clear()
-                    new = list(set(words))
                 learn(new)
             return b"".join([known[w] for w in words] + [end])
 
@@ -102,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity
             yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=False)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, _PIECES + ", ids array<long>" * with_ids)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).transform(text_batches).mapInArrow(encode, _PIECES + ", ids array<long>" * with_ids)
 
 
 def places(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

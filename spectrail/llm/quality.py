@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.llm.tables import read, saved
+from spectrail.llm.tables import read, saved, text_batches
 from spectrail.llm.words import slices, span_hashes, words
 
 #: Cutoffs are k / STEPS for k from STEPS down to 1.
@@ -91,7 +91,7 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
                 columns = [np.bincount(row, minlength=n), chars, symbol[offsets[1:]] - symbol[offsets[:-1]], _dup_lines(data, offsets, starts, n) if len(data) else np.zeros(n, np.int64), _repeats(span_hashes(data, starts, ends, lower=False), row, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), *(pa.array(c.astype(np.int64)) for c in columns)], [x.split()[0] for x in _SIGNALS.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col)).mapInArrow(each, _SIGNALS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col)).transform(text_batches).mapInArrow(each, _SIGNALS)
 
 
 def upper_bound(k: int, n: int, level: float) -> float:

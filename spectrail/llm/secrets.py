@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.llm.tables import read
+from spectrail.llm.tables import read, text_batches
 
 # Words that names of secrets hold, and words beside values that are none.
 NAMES = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "credential", "bearer", "key")
@@ -291,7 +291,7 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _FOUND.split(", ")])
 
     path = F.col(path_col).cast("string") if path_col else F.lit("")
-    return docs.where(suspect(F.col(text_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), path.alias("path")).mapInArrow(each, _FOUND)
+    return docs.where(suspect(F.col(text_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), path.alias("path")).transform(text_batches).mapInArrow(each, _FOUND)
 
 
 def redact(docs: DataFrame, forest: Forest, least: float = 0.5, text_col: str = "text", path_col: str | None = "source", label: str = LABEL) -> DataFrame:
@@ -315,7 +315,7 @@ def redact(docs: DataFrame, forest: Forest, least: float = 0.5, text_col: str =
             yield batch.select(list(range(len(names))))
 
     path = F.col(path_col).cast("string") if path_col else F.lit("")
-    return docs.select("*", suspect(F.col(text_col)).alias("_suspect"), path.alias("_path")).mapInArrow(each, docs.schema)
+    return docs.select("*", suspect(F.col(text_col)).alias("_suspect"), path.alias("_path")).transform(text_batches).mapInArrow(each, docs.schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: A word, for Java's and DuckDB's regular expressions.
@@ -94,8 +93,16 @@ def with_columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*like.columns)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def text_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``df``; from now on the session hands at most ``rows`` rows at once to Python, since they hold whole texts.
+
+    A batch is held several times, by Spark and by Python, so its size counts for an executor's memory.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    return df
 
 
-LONG, DOUBLE, STRING, BOOLEAN = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -43,7 +43,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, their bytes, offsets of the rows in them); nulls are empty. About ``most`` bytes each, whole texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
