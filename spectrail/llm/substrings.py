@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.llm.tables import read, saved
+from spectrail.llm.tables import read, saved, text_batches
 from spectrail.llm.words import mixed, powers, slices
 from spectrail.llm.words import _BYTE as BYTE_VALUES
 
@@ -263,12 +263,46 @@ def _ranges(gram: int, arounds: np.ndarray, found: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"gram": np.full(len(row), gram, np.int64), "around": arounds[row].astype(np.int64), "low": low.astype(np.int32), "high": high.astype(np.int32)})
 
 
+def matched_ranges(leads: list[int], data: list[bytes], length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(index, low, high) for the surroundings of one gram: the windows low .. high of it equal another one's."""
+    lefts = [d[:k][::-1] for d, k in zip(data, leads)]
+    rights = [d[k:] for d, k in zip(data, leads)]
+    if len(data) == 2:  # two are neighbours in any order
+        low, high = max(0, length - common(*rights, gram)), min(common(*lefts), length - gram)
+        return [(0, low, high), (1, low, high)] if low <= high else []
+    found = equal_windows(lefts, rights, length, gram)
+    edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, low = np.nonzero(edge == 1)
+    return list(zip(row.tolist(), low.tolist(), (np.nonzero(edge == -1)[1] - 1).tolist()))
+
+
 def _matched(length: int, gram: int):
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        leads, data = rows["lead"].tolist(), rows["data"].tolist()
-        lefts = [bytes(d[:k])[::-1] for d, k in zip(data, leads)]
-        rights = [bytes(d[k:]) for d, k in zip(data, leads)]
-        return _ranges(rows["gram"].iloc[0], rows["around"].to_numpy(), equal_windows(lefts, rights, length, gram))
+    """Batches of surroundings, ordered by gram, to `_MATCHED`; a gram that goes on in the next batch waits for it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = [x.split()[0] for x in _MATCHED.split(", ")]
+        waiting: list[list] = [[], [], [], []]
+
+        def done(columns: list[list], ends: list[int]) -> pa.RecordBatch:
+            out: list[list] = [[], [], [], []]
+            for a, b in zip([0, *ends], ends):
+                if b - a > 1:
+                    for i, low, high in matched_ranges(columns[2][a:b], columns[3][a:b], length, gram):
+                        for column, x in zip(out, (columns[0][a], columns[1][a + i], low, high)):
+                            column.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+        for batch in batches:
+            columns = [w + batch.column(i).to_pylist() for i, w in enumerate(waiting)]
+            grams = columns[0]
+            ends = [i for i in range(1, len(grams)) if grams[i] != grams[i - 1]]
+            rest = ends[-1] if ends else 0
+            waiting = [c[rest:] for c in columns]
+            if ends:
+                yield done(columns, ends)
+        if waiting[0]:
+            yield done(waiting, [len(waiting[0])])
 
     return each
 
@@ -369,7 +403,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     """
     known = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit("second"), F.col(text_col), F.col(id_col)).alias("k2"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     long_ = known.where(F.octet_length("text") >= length)
-    runs = saved(long_.select("k1", "k2", "text").mapInArrow(_runs(length, gram), _RUNS))
+    runs = saved(long_.select("k1", "k2", "text").transform(text_batches).mapInArrow(_runs(length, gram), _RUNS))
     often = saved(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     runs = saved(runs.join(often, "gram"))
     each = saved(runs.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place", "lead", "tail")).alias("r")))
@@ -377,8 +411,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     apart = each.join(groups, "gram")
     wanted = apart.groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("gram", "around", "n_around", "r.place", "r.lead", "r.tail")).alias("runs"))
     data = long_.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "runs")
-    data = saved(data.mapInArrow(_surroundings(length), "gram long, around long, n_around long, lead int, tail int, data binary"))
-    matched = data.where(F.col("n_around") <= group).groupBy("gram").applyInPandas(_matched(length, gram), _MATCHED)
+    data = saved(data.transform(text_batches).mapInArrow(_surroundings(length), "gram long, around long, n_around long, lead int, tail int, data binary"))
+    few = data.where(F.col("n_around") <= group).select("gram", "around", "lead", "data")
+    matched = few.repartition("gram").sortWithinPartitions("gram").transform(text_batches).mapInArrow(_matched(length, gram), _MATCHED)
     salted = data.where(F.col("n_around") > group).withColumn("salt", F.pmod("around", F.ceil(F.col("n_around") / group)))
     hashed = salted.groupBy("gram", "salt").applyInPandas(_window_hashes(length), _HASHES)
     again = hashed.groupBy("gram", "place", "part").applyInPandas(_repeated, "gram long, place int, salt long, arounds binary")
@@ -412,7 +447,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names)
 
     joined = known.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(each, _KEPT + ", kept binary" * with_bytes)
+    return joined.transform(text_batches).mapInArrow(each, _KEPT + ", kept binary" * with_bytes)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
