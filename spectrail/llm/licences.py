@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences, and the sequence of the
-identifiers found is matched against ordered rules. Nothing is shuffled: the whole scan is a projection of each row.
+A text is normalised to words, blanks, line ends and stops, known licence sentences are searched in it between two line ends
+or stops, and the sequence of the identifiers found is matched against ordered rules. Nothing is shuffled: the whole scan
+is a projection of each row.
 """
 
 from __future__ import annotations
@@ -68,24 +69,45 @@ RULES = [
 ]
 # Every known sentence holds one of these, so texts without any of them have no known sentence.
 MARKS = ("license", "licensed", "permission", "copyright", "redistribut", "warrant")
+# Where real notices have a stop inside a known sentence: behind these words of it.
+STOPS_BEHIND = {22: ("is free software", "software foundation"), 23: ("is free software", "software foundation"), 24: ("any warranty",), 60: ("license v",)}
 #: The end of a sentence: stops before white space or the end, or a line's end.
 STOP = r"[.!?;:]+([\x20\x09-\x0D]|\z)|\n"
 BLANK = r"[^\p{L}\p{N}]+"
+_END = "\x01"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; empty ones stay, so positions count all of them."""
-    cut = F.split(F.regexp_replace(F.lower(text), STOP, "\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, BLANK, " ")))
+def normalised(text: Column) -> Column:
+    """A text's words in lower case, with a blank, a line feed (one line end) or ``_END`` (a stop, or lines without a word) between them.
+
+    It starts and ends with ``_END``. All patterns take time in proportion to the text, however long its runs of marks are.
+    """
+    found = F.translate(F.lower(text), _END, "-")
+    found = F.regexp_replace(found, r"(?<![.!?;:])[.!?;:]++(?:[\x20\x09-\x0D]|\z)", _END)
+    found = F.regexp_replace(found, rf"[^\p{{L}}\p{{N}}\n{_END}]+", " ")
+    found = F.regexp_replace(found, r" ?\n ?", "\n")
+    found = F.regexp_replace(F.concat(F.lit(_END), found, F.lit(_END)), r"\n{2,}", _END)
+    return F.regexp_replace(found, rf"[ \n]?{_END}[ \n{_END}]*", _END)
+
+
+def _pattern(known: dict[int, str], stops: dict[int, tuple[str, ...]]) -> str:
+    """Any of the known sentences, the longest first, from one line end or stop to another; lines may be wrapped at any blank."""
+    ways = []
+    for n, sentence in known.items():
+        for words in stops.get(n, ()):
+            sentence = sentence.replace(words + " ", words + _END)
+        ways.append(sentence.replace(" ", r"[ \n]").replace(_END, rf"[ \n{_END}]"))
+    return rf"(?<=[\n{_END}])(?:{'|'.join(sorted(ways, key=len, reverse=True))})(?=[\n{_END}])"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[int, str] = SENTENCES, rules: list = RULES, marks: tuple[str, ...] = MARKS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[int, str] = SENTENCES, rules: list = RULES, marks: tuple[str, ...] = MARKS, stops: dict[int, tuple[str, ...]] = STOPS_BEHIND) -> DataFrame:
     """(doc_id, rule, licence, sentence_ids), a row for each rule that a text meets.
 
     A rule is met where its identifiers follow each other in the sequence of known sentences (unknown ones between them do
     not count); a rule whose place lies inside that of a longer rule that is met as well gives no row. A text with known
     sentences that meets no rule gives one row with null rule and licence. Null and empty texts, and texts without a
-    known sentence, give none; repeated rows give repeated results.
+    known sentence, give none; repeated rows give repeated results. A known sentence may be wrapped over lines, and has
+    stops inside only where ``stops`` allows them.
     """
     missing = [s for s in known.values() if not any(m in s for m in marks)]
     if missing:
@@ -95,7 +117,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     for m in marks:
         has_mark = has_mark | F.contains(lower, F.lit(m))
     ids = F.create_map(*[F.lit(x) for n, s in known.items() for x in (s, n)])
-    found = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(ids, s)), lambda n: n.isNotNull())
+    matches = F.regexp_extract_all(normalised(text), F.lit(_pattern(known, stops)), F.lit(0))
+    found = F.transform(matches, lambda s: F.try_element_at(ids, F.translate(s, "\n" + _END, "  ")))
     rows = docs.where(has_mark).select(F.col(id_col).alias("doc_id"), found.alias("sentence_ids")).where(F.size("sentence_ids") > 0)
     key = lambda seq: "," + ",".join(map(str, seq)) + ","
     joined = F.concat(F.lit(","), F.concat_ws(",,", F.col("sentence_ids").cast("array<string>")), F.lit(","))

@@ -35,3 +35,106 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     plan = licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
+
+
+# Real notices as they are wrapped in their projects' files.
+APACHE_HEADER = """#   Licensed under the Apache License, Version 2.0 (the "License");
+#   you may not use this file except in compliance with the License.
+#   You may obtain a copy of the License at
+#
+#       http://www.apache.org/licenses/LICENSE-2.0
+#
+#   Unless required by applicable law or agreed to in writing, software
+#   distributed under the License is distributed on an "AS IS" BASIS,
+#   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+#   See the License for the specific language governing permissions and
+#   limitations under the License.
+import os
+"""
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+GPL3 = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */"""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL2 = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+WRAPPED = {
+    "apache-notice": APACHE_HEADER,
+    "mit-titled-text": MIT_FILE,
+    "mit-text": MIT_FILE.replace("The MIT License (MIT)", "MIT License"),
+    "gpl3-notice": GPL3,
+    "gpl2-notice": GPL2,
+    "bsd3-text": BSD3,
+    "bsd2-text": BSD3.split("3. ")[0],
+    "isc-text": ISC,
+    "mpl2-notice": MPL2,
+    "apache-notice-short": APACHE_HEADER.split("#   Unless")[0],
+    "cc-by-nc-text": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "gpl3-line": "-- This work is licensed under the\r\n-- GNU General Public License version 3.\r\n",
+}
+
+
+def test_wrapped_notices(spark):
+    texts = {f"{end}{rule}": text.replace("\n", end) for rule, text in WRAPPED.items() for end in ("\n", "\r\n")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = [(r.doc_id, r.rule) for r in licences.scan(docs).collect()]
+    assert sorted(found) == sorted((k, k.strip()) for k in texts)
+
+
+def test_each_rule_can_be_met(spark):
+    # one text for each rule: its sentences as paragraphs, each on one line
+    docs = spark.createDataFrame([(rule, ".\n\n".join(licences.SENTENCES[n] for n in ids)) for rule, _, ids in licences.RULES], "doc_id string, text string")
+    assert {(r.doc_id, r.rule) for r in licences.scan(docs).collect()} == {(rule, rule) for rule, _, _ in licences.RULES}
+
+
+def test_stops_and_blank_lines_part_sentences(spark):
+    texts = ["Released under\n\nthe MIT License.", "Released under. the MIT License", "Licensed under the Apache License, Version 2.0.\nThe License\n", "." * 100_000 + "-" * 100_000 + " license\x01", "It is released under the MIT License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.doc_id, r.rule) for r in licences.scan(docs).collect()] == [(2, "apache-line")]
