@@ -33,7 +33,7 @@ FORMS = (
     ("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("google", r"AIza[0-9A-Za-z_-]{35}"),
     ("jwt", r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{4,}"),
-    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"),
 )
 # A small dictionary, in alphabetic order.
 WORDS = (
@@ -52,11 +52,14 @@ WORDS = (
 ).split()
 _RUN = r"[0-9A-Za-z+/_=-]"
 _FORM = re.compile("|".join(f"(?P<f{i}>(?<![0-9A-Za-z_]){p})" for i, (_, p) in enumerate(FORMS)))
-_ASSIGNED = re.compile(r"(?i)(?P<name>[\w.-]{0,40}(?:" + "|".join(NAMES) + r")[\w.-]{0,20})[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*[\"']?(?P<value>[^\s\"'<>,;]{8,400})")
+_ASSIGNED = re.compile(r"(?i)(?P<name>[\w.-]{0,40}(?:" + "|".join(NAMES) + r")[\w.-]{0,20})[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*[\"']?(?P<value>[^\s\"'<>,;]{8,})")
 _LONG = re.compile(rf"(?<!{_RUN})(?=[^\s]*\d){_RUN}{{20,}}")
 _WIDE = re.compile(r"(?<!\S)\S{20,}")
-_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_", "rk_", "AIza", "eyJ", "-----BEGIN ")
+_KEY_START = "-----BEGIN "
+_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_", "rk_", "AIza", "eyJ", _KEY_START)
 _NEAR = re.compile(r"\S+")
+#: What a stretch takes behind its end: the run that it cuts, and, where it ends before a name's sign or value, those.
+_REST = re.compile(r"\S*[ \t]*\S*[ \t]*\S*")
 LABEL = "[secret]"
 FEATURES = 24
 
@@ -71,17 +74,23 @@ def suspect(text: Column) -> Column:
 
 
 def _around(text: str, parts: Sequence[str], before: int, after: int) -> list[tuple[int, int]]:
-    """Joined stretches of a text around each place of each part."""
+    """Joined stretches of a text around each place of each part; none ends inside a run without white space.
+
+    A private key may go on to the text's end, and so does its stretch.
+    """
     places = []
     for part in parts:
         at = text.find(part)
         while at >= 0:
-            places.append((max(0, at - before), min(len(text), at + after)))
-            at = text.find(part, at + 1)
+            places.append((max(0, at - before), len(text) if part == _KEY_START else min(len(text), at + after)))
+            at = -1 if part == _KEY_START else text.find(part, at + 1)
     joined: list[tuple[int, int]] = []
     for lo, hi in sorted(places):
+        if joined and hi <= joined[-1][1]:
+            continue
+        hi = _REST.match(text, hi).end()
         if joined and lo <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(hi, joined[-1][1]))
+            joined[-1] = (joined[-1][0], hi)
         else:
             joined.append((lo, hi))
     return joined
