@@ -60,6 +60,8 @@ _STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_",
 _NEAR = re.compile(r"\S+")
 #: What a stretch takes behind its end: the run that it cuts, and, where it ends before a name's sign or value, those.
 _REST = re.compile(r"\S*[ \t]*\S*[ \t]*\S*")
+#: Small letters in places that stay: A-Z and the Kelvin sign, all that becomes one of a-z.
+_LOWER = str.maketrans(string.ascii_uppercase + "\u212a", string.ascii_lowercase + "k")
 LABEL = "[secret]"
 FEATURES = 24
 
@@ -101,9 +103,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 
     Patterns only run where a plain search has found what they need.
     """
-    low = text.lower()
-    if len(low) != len(text):  # letters whose small form is longer
-        low = text
+    low = text.translate(_LOWER)
     spans = [(m.start(), m.end()) for m in _WIDE.finditer(text)]
     searches = (
         (_FORM, 0, _around(text, _STARTS, 1, 600), lambda m: FORMS[int(m.lastgroup[1:])][0]),

@@ -75,3 +75,8 @@ def test_many_places_take_linear_time():
     for text in ("key" * 20_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN " * 20_000, "eyJ" * 20_000, ("key" + "a" * 600) * 1_000):
         secrets.candidates(text)
     assert time.time() - start < 40
+
+
+def test_names_in_capitals_beside_letters_that_grow():
+    text = "İstanbul İ PASSWORD=Hj7#kd92!qLx " + "words " * 40 + "API_KEY: 9f8e7d6c5b4a " + "words " * 40 + "Secret: Zk3pQ8vT1m " + "words " * 40 + "\u212aEY = Zk3pQ8vT1n"
+    assert [text[a:b] for a, b, k in secrets.candidates(text) if k == "assigned"] == ["Hj7#kd92!qLx", "9f8e7d6c5b4a", "Zk3pQ8vT1m", "Zk3pQ8vT1n"]
