@@ -220,8 +220,9 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 9, least: i
 def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str, str, str, int]]:
     """(value, kind, before, after, path, 1 for a secret): labelled findings made by rule, for want of a labelled table.
 
-    Secrets are random values of known forms and random values assigned to telling names; what is none are ids, digests,
-    placeholders, identifiers, paths, card and order numbers and long words, alone or assigned.
+    Secrets are random values of known forms, and random values assigned to telling names or standing bare beside them: behind
+    "Bearer", in tables, on a line below, after a blank. What is none are ids, digests, placeholders, identifiers, paths, card
+    and order numbers and long words, alone, assigned or in the same places.
     """
     r = random.Random(seed)
     prose = lambda: " ".join(r.choice(WORDS) for _ in range(4))
@@ -234,7 +235,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         name = r.choice(["token", "api_key", "API_KEY", "secret", "password", "db_password", "auth_token", "access_key", "client_secret", "SECRET_KEY", "bearer"])
         assign = f"{prose()} {name}{r.choice([' = ', '=', ': ', ':'])}{r.choice(['', chr(34), chr(39)])}"
         plain = f"{prose()} {r.choice(['', '', '(', 'and '])}"
-        kind = r.randrange(20)
+        kind = r.randrange(26)
         if kind < 5:
             out.append((chars(hexes, r.choice([24, 32, 32, 40, 40, 48, 64])), "assigned", assign, after, path, 1))
         elif kind < 7:
@@ -242,8 +243,19 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         elif kind == 7:
             out.append((chars(both + "!@#$%^&*", r.randint(8, 16)), "assigned", f"{prose()} {r.choice(['password', 'passwd', 'pwd'])}={r.choice(['', chr(34)])}", after, path, 1))
         elif kind < 10:
-            value, form = r.choice([("AKIA" + chars(upper, 16), "aws"), ("ghp_" + chars(both, 36), "github"), ("xoxb-" + chars(both, 24), "slack"), ("sk_live_" + chars(both, 24), "stripe"), ("AIza" + chars(both, 35), "google"), ("eyJ" + chars(both, 20) + "." + chars(both, 40) + "." + chars(both, 30), "jwt"), ("-----BEGIN RSA PRIVATE KEY-----", "private-key")])
+            value, form = r.choice([("AKIA" + chars(upper, 16), "aws"), ("ghp_" + chars(both, 36), "github"), ("xoxb-" + chars(both, 24), "slack"), ("sk_live_" + chars(both, 24), "stripe"), ("AIza" + chars(both, 35), "google"), ("eyJ" + chars(both, 20) + "." + chars(both, 40) + "." + chars(both, 30), "jwt"), ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(chars(both + "+/", 64) for _ in range(r.randint(1, 25))) + "\n-----END RSA PRIVATE KEY-----", "private-key")])
             out.append((value, form, r.choice([plain, assign]), after, path, 1))
+        elif kind >= 20:
+            bare = lambda word: r.choice([f"{prose()} | {word} | ", f"{prose()}\t{word}\t", f"{prose()}\n{word}\n", f"{prose()} {word}:\n\n", f"{prose()} {word} ", f"{prose()} --{word} ", f"the {word} is ", f"{prose()} {word} {r.choice(WORDS)} "])
+            if kind == 24:
+                out.append((chars(hexes, r.choice([32, 40, 64])), "long-run", bare(r.choice(["commit", "sha256", "sha1", "checksum", "etag", "revision", "hash", "digest"])), after, path, 0))
+            elif kind == 25:
+                value = r.choice(["_", "-", "", "/"]).join(r.choice(WORDS) for _ in range(r.randint(4, 7))) + str(r.randrange(100))
+                out.append((value, "long-run", bare(name), after, path, 0))
+            else:
+                value = r.choice([chars(hexes, r.choice([24, 32, 40, 48, 64])), chars(both + r.choice(["", "+/", "_-"]), r.randint(20, 64))])
+                bearer = f"{prose()} {r.choice(['Authorization: ', 'authorization: ', 'header ', ''])}{r.choice(['Bearer', 'Bearer', 'bearer', 'Token'])} "
+                out.append((value, "long-run", bearer if kind == 20 else bare(name.replace("_", r.choice(["_", " ", "-"]))), after, path, 1))
         elif kind == 10:
             value = "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12))
             out.append((value, "long-run", f"{prose()} {r.choice(['uuid', 'id', 'request', 'guid'])}{r.choice([' ', '=', ': '])}", after, path, 0))
