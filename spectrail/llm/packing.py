@@ -8,7 +8,6 @@ finds its place by its rank among the items of its length. Ranks come from distr
 from __future__ import annotations
 
 import os
-import re
 import string
 import zlib
 from bisect import bisect_left, insort
@@ -17,48 +16,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.llm.tables import bucketed_before, read, saved, text_batches
+from spectrail.llm.words import slices, span_hashes, words
 
 CAPACITY = 2048
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Python's split() also cuts at these controls, which the tokenizer keeps.
-_CONTROLS = re.compile("[\x1c-\x1f]")
-_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Words whose ids a worker keeps for good, the first ones that it meets, among them the frequent ones, and how many more
 #: it keeps until it drops those.
-_KEPT, _RECENT = 120_000, 60_000
-_memory: dict = {}
-_MARKS = string.punctuation
+_KEPT, _RECENT = 250_000, 150_000
+_encoders: dict = {}
+_MARK = np.zeros(256, bool)
+_MARK[list(string.punctuation.encode())] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list((string.ascii_letters + string.digits).encode())] = True
+_U = np.uint64
 
 
-class Memory(dict):
-    """A dictionary that stays small: what comes when it is full is dropped together, time and again."""
+class Ids:
+    """Token ids by 64-bit hash: an open table of slots over entries in the order in which they came, and one pool of ids."""
 
     def __init__(self):
-        super().__init__()
-        self.recent: list[str] = []
-
-    def learn(self, found: dict[str, bytes]) -> None:
-        if len(self) >= _KEPT:
-            self.recent += [x for x in found if x not in self]
-        self.update(found)
-
-    def shrink(self) -> None:
-        if len(self.recent) > _RECENT:
-            for x in self.recent:
-                self.pop(x, None)
-            self.recent = []
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """A word without the ASCII punctuation at its end, and that; Latin letters as the tokenizer lowers them."""
-    stem = word.rstrip(_MARKS)
-    if not stem or not stem[-1].isalnum():
-        return word, ""
-    return (stem.lower() if max(stem) < "\u0100" else stem), word[len(stem) :]
+        self.size = 0
+        self.hashes, self.stops, self.pool = np.zeros(1 << 12, _U), np.zeros((1 << 12) + 1, np.int64), np.zeros(1 << 14, "<u4")
+        self._slots(13)
+
+    def _slots(self, bits: int) -> None:
+        self.bits, self.entry = bits, np.full(1 << bits, -1, np.int32)
+        self._place(np.arange(self.size))
+
+    def _place(self, entries: np.ndarray) -> None:
+        slot = (self.hashes[entries] >> _U(64 - self.bits)).astype(np.int64)
+        while len(entries):
+            free = self.entry[slot] < 0
+            self.entry[slot[free]] = entries[free]  # of several for one slot the last one stays
+            lost = self.entry[slot] != entries
+            entries, slot = entries[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int64)
+        rest, slot = np.arange(len(hashes)), (hashes >> _U(64 - self.bits)).astype(np.int64)
+        while len(rest):
+            entry = self.entry[slot]
+            hit = (entry >= 0) & (self.hashes[entry] == hashes[rest])
+            out[rest[hit]] = entry[hit]
+            on = (entry >= 0) & ~hit
+            rest, slot = rest[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct hashes that are not here yet, how many ids each has, and all their ids."""
+        to, used = self.size + len(hashes), self.stops[self.size]
+        room = lambda x, n: np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)]) if n > len(x) else x
+        self.hashes, self.stops, self.pool = room(self.hashes, to), room(self.stops, to + 1), room(self.pool, int(used) + len(ids))
+        self.hashes[self.size : to], self.pool[used : used + len(ids)] = hashes, ids
+        self.stops[self.size + 1 : to + 1] = used + np.cumsum(counts)
+        first, self.size = self.size, to
+        if 2 * to > 1 << self.bits:
+            self._slots((2 * to).bit_length())
+        else:
+            self._place(np.arange(first, to))
+
+    def shrink(self, keep: int) -> None:
+        """Only the first ``keep`` entries stay."""
+        self.size = min(self.size, keep)
+        self._slots(self.bits)
 
 
 def _tokenizer_path(name: str) -> str:
@@ -67,68 +93,103 @@ def _tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): the ids of each whole text, then ``end_id``, cut every ``capacity``.
+class Encoder:
+    """Ids of many texts at once, for a tokenizer that drops white space and lowers A-Z.
 
-    This tokenizer drops white space and treats the words between it alone, so a worker encodes each new word once and
-    remembers its ids. A null text is empty and gives the piece ``[end_id]``.
+    Words between white space are tokenized alone, and so is ASCII punctuation behind a letter or digit at a word's end; both
+    are looked up by hash, and only what is new goes to the tokenizer. Texts that hold an added token go there whole.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        if tokenizer not in _memory:
-            encoder = Tokenizer.from_file(_tokenizer_path(tokenizer))
-            encoder.encode_special_tokens = True
-            ends = np.zeros(encoder.get_vocab_size(), bool)
-            ends[[i for x, i in encoder.get_vocab().items() if x.endswith("</w>")]] = True
-            _memory[tokenizer] = (encoder, ends, Memory(), Memory())
-        encoder, ends_word, known, parts = _memory[tokenizer]
-        end = end_id.to_bytes(4, "little")
-        width = 4 * capacity
-
-        def learn(new: list[str]) -> None:
-            """Encodes what is new of words' stems and of the punctuation behind them; both are tokens of their own."""
-            parts.shrink()
-            split = [(w, *_stem(w)) for w in new]
-            unknown = [x for x in {y for _, stem, tail in split for y in (stem, tail)} if x not in parts]
-            # Latin letters alone are one token sequence that ends with a word's end, so many can be encoded as one text
-            plain = [x for x in unknown if x.isalpha() and max(x) < "\u0250"]
-            for at in range(0, len(plain), 4000):
-                some = plain[at : at + 4000]
-                found = np.array(encoder.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-                stops = np.flatnonzero(ends_word[found]) + 1
-                if len(stops) == len(some):
-                    data, stops = found.tobytes(), [0, *(4 * stops).tolist()]
-                    parts.learn({x: data[i:j] for x, i, j in zip(some, stops, stops[1:], strict=False)})
-            others = [x for x in unknown if x not in parts]
-            for at in range(0, len(others), 2000):
-                some = others[at : at + 2000]
-                parts.learn({x: np.array(e.ids, "<u4").tobytes() for x, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True)})
-            known.learn({w: parts[stem] + parts[tail] for w, stem, tail in split})
-
-        def ids(text: str) -> bytes:
-            known.shrink()
-            words = [w for w in _WHITE.split(text) if w] if _CONTROLS.search(text) else text.split()
-            if new := [w for w in set(words) if w not in known]:
-                learn(new)
-            return b"".join([known[w] for w in words] + [end])
+        self.inner = Tokenizer.from_file(_tokenizer_path(tokenizer))
+        self.added = [x.content for x in self.inner.get_added_tokens_decoder().values()]
+        self.known = Ids()
+
+    def _entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry in ``known`` of each span of bytes."""
+        if self.known.size > _KEPT + _RECENT:
+            self.known.shrink(_KEPT)
+        hashes = span_hashes(data, starts, ends)
+        out = self.known.find(hashes)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            value, at, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            order = np.argsort(at)  # as they come in the texts, so that the first ones are kept
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            some = [data[starts[i] : ends[i]].tobytes().decode() for i in new[at[order]]]
+            found = [e.ids for e in self.inner.encode_batch_fast(some, add_special_tokens=False)]
+            out[new] = self.known.size + rank[back]
+            self.known.add(value[order], np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], "<u4"))
+        return out
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows of a slice of texts, ``end_id`` behind each row's, and where each row's begin."""
+        starts, ends, row = words(data, offsets)
+        n, rows = len(starts), len(offsets) - 1
+        if not n:
+            return np.full(rows, end_id, "<u4"), np.arange(rows + 1)
+        # a word's end without the punctuation there, if a letter or a digit stands before it
+        last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[ends - 1]
+        lead = data[np.maximum(last - 1, 0)]
+        latin = (data[last] >= 0x80) & (lead >= 0xC3) & (lead <= 0xC5) & ((lead != 0xC3) | ((data[last] != 0x97) & (data[last] != 0xB7)))
+        stem = np.where((last >= starts) & (_PLAIN[data[last]] | latin), last + 1, ends)
+        tails = np.flatnonzero(stem < ends)
+        entry = self._entries(data, np.concatenate([starts, stem[tails]]), np.concatenate([stem, ends[tails]]))
+        units = np.full(2 * n, -1, np.int64)
+        units[::2], units[2 * tails + 1] = entry[:n], entry[n:]
+        unit_row = np.repeat(row, 2)[units >= 0]
+        units = units[units >= 0]
+        first, count = self.known.stops[units], self.known.stops[units + 1] - self.known.stops[units]
+        at = np.cumsum(count) - count
+        total = int(count.sum())
+        ids = self.known.pool[np.repeat(first - at, count) + np.arange(total)]
+        size = np.bincount(unit_row, count, rows).astype(np.int64) + 1
+        begin = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(total + rows, "<u4")
+        inner = np.ones(len(out), bool)
+        inner[begin[1:] - 1] = False
+        out[inner], out[~inner] = ids, end_id
+        return out, begin
 
-        for batch in batches:
-            out: dict[str, list] = defaultdict(list)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids(text.as_py() or "")
-                for piece, at in enumerate(range(0, len(data), width)):
-                    part = data[at : at + width]
-                    for name, value in (("doc_id", doc), ("piece", piece), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
-                        out[name].append(value)
-                    if with_ids:
-                        out["ids"].append([int.from_bytes(part[i : i + 4], "little") for i in range(0, len(part), 4)])
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=False)], names)
 
+def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): the ids of each whole text, then ``end_id``, cut every ``capacity``.
+
+    A null text is empty and gives the piece ``[end_id]``; so does an empty one. Null ids stay null, rows that repeat are
+    documents of their own, an empty table gives no pieces, and other columns are not read.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = Encoder(tokenizer)
+        encoder = _encoders[tokenizer]
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            holds = np.zeros(len(texts), bool)
+            for x in encoder.added:
+                holds |= pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
+            rest = pa.array([None if h else x for h, x in zip(holds, texts.to_pylist(), strict=True)], pa.large_string()) if holds.any() else texts
+            for low, to, data, offsets in slices(rest):
+                found, begin = encoder.ids(data, offsets, end_id)
+                out: dict[str, list] = defaultdict(list)
+                for k in range(low, to):
+                    mine = found[begin[k - low] : begin[k - low + 1]]
+                    if holds[k]:
+                        mine = np.array([*encoder.inner.encode(texts[k].as_py(), add_special_tokens=False).ids, end_id], "<u4")
+                    for piece, at in enumerate(range(0, len(mine), capacity)):
+                        part = mine[at : at + capacity]
+                        for name, value in zip(names, (ids[k], piece, at, len(part), zlib.crc32(part)), strict=False):
+                            out[name].append(value)
+                        if with_ids:
+                            out["ids"].append(part.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=False)], names)
+
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).transform(text_batches).mapInArrow(encode, _PIECES + ", ids array<long>" * with_ids)
 
 

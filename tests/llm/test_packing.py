@@ -39,12 +39,11 @@ def test_places_do_not_grow_with_the_items():
 
 
 def test_ids_are_the_tokenizers(spark):
-    texts = ["Don't \"stop\" it's I'M  ok...", "ΣΑΣ Σ x\x1cy", "İstanbul Ünïcödé ﬁ—, é́x é, a…,b 12,34. ²x", "", None, "中文,abc ١٢٣. ß.", "naïve line ñ ̃x <|endoftext|>", "word, " * 1500, "The the THE the, (the) 'the's"]
+    texts = ["Don't \"stop\" it's I'M  ok...", "ΣΑΣ Σ x\x1cy", "İstanbul Ünïcödé ﬁ—, é́x é, a…,b 12,34. ²x", "", None, "中文,abc ١٢٣. ß.", "naïve line ñ ̃x <|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>.", "Ça, été; ÷, ×! Ÿ. ſ? naïveté… façade--x don's, won't'", "a\x85b c\u2003d,\u3000e. \u00a0", "word, " * 1500, "The the THE the, (the) 'the's"]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(1, texts[1], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
     got = packing.pack(docs).collect()
     encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    encoder.encode_special_tokens = True
     expected = []
     for i, t, _ in rows:
         ids = encoder.encode(t or "", add_special_tokens=False).ids + [0]
