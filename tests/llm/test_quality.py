@@ -48,8 +48,45 @@ def test_thresholds_spare_good_texts(spark):
     docs = spark.createDataFrame([r[:3] for r in good + bad], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], r[3]) for r in good + bad], "doc_id long, quality int")
     measured = quality.signals(docs)
-    cutoffs = quality.thresholds(measured, labels, risk=0.04).collect()
+    cutoffs = quality.thresholds(measured, labels).collect()
     assert {(r.stratum, r.rule) for r in cutoffs} >= {("en", "symbols"), ("de", "symbols")}
-    assert all(r.bound <= 0.01 for r in cutoffs)
-    kept = {r.doc_id: r.kept for r in quality.quality(docs, labels, risk=0.04).collect()}
+    assert all(r.bound <= 0.02 for r in cutoffs)
+    kept = {r.doc_id: r.kept for r in quality.quality(docs, labels).collect()}
     assert all(kept[i] for i in range(3000)) and not any(kept[3000 + i] for i in range(300))
+
+
+def test_small_strata_are_pooled_and_noise_certifies_nothing(spark):
+    texts = lambda n, sign: " ".join(f"w{n % 37}x{j}{sign}" for j in range(70))
+    rows = [(i, texts(i, ""), f"l{i % 4}", 1) for i in range(400)] + [(400 + i, texts(i, "|"), f"l{i % 4}", 0) for i in range(60)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] * 2, "doc_id long, quality int")
+    cutoffs = quality.thresholds(quality.signals(docs), labels).collect()
+    assert {r.stratum for r in cutoffs} == {"l0", "l1", "l2", "l3"} and len({(r.bound, r.n_good) for r in cutoffs}) == 1
+    assert all(r.n_good >= 149 and r.bound <= 0.02 for r in cutoffs)
+    noise = spark.createDataFrame([(r[0], k % 2) for k, r in enumerate(rows)], "doc_id long, quality int")
+    assert quality.thresholds(quality.signals(docs), noise).count() == 0
+
+
+def test_certified_set_is_the_longest_that_brute_force_allows():
+    from math import comb
+
+    import pandas as pd
+
+    rules, cutoffs, n = ["symbols", "repeats", "symbols"], [40, 30, 20], 300
+    lost = [1, 2, 5, n - 8]
+    rows = [("g", rules, cutoffs, 0, 1, k, x) for k, x in enumerate(lost)] + [("g", rules, cutoffs, 1, 0, k, 10) for k in range(3)] + [("g", rules, cutoffs, 1, 1, 3, 100)]
+    frame = pd.DataFrame(rows, columns=["grp", "rules", "cutoffs", "half", "good", "place", "n"])
+    for risk in (0.01, 0.03, 0.06):
+        tail = lambda k: sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))  # noqa: B023, E731
+        length = next((k for k in range(3) if tail(sum(lost[: k + 1])) > 0.05), 3)
+        got = quality._certified(risk, 0.05)(frame)
+        assert dict(zip(got.rule, got.cutoff)) == {r: min(c for s, c in zip(rules[:length], cutoffs) if s == r) for r in set(rules[:length])}
+
+
+def test_the_verdict_is_more_than_the_base(spark):
+    """On the driver's table: cutoffs exist, bad texts go, and labels that were not used to certify keep their good texts."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality.quality(docs, labels).join(labels, "doc_id").where("not base_failed").select("quality", "kept").collect()
+    bad, good = [r.kept for r in got if r.quality == 0], [r.kept for r in got if r.quality == 1]
+    assert bad and sum(bad) < 0.4 * len(bad) and sum(good) >= 0.97 * len(good)
