@@ -11,6 +11,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,12 +38,23 @@ _PATHS, _WORDS, _MEASURES = 1024, 512, 8
 _SHORT = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+class Node:
+    """An open element: its parent, the numbers of its own names, how deep it stands, and the block element that it is in."""
+
+    __slots__ = ("parent", "names", "depth", "element", "name")
+
+    def __init__(self, parent: Node | None, name: str, names: list[int]):
+        self.parent, self.name, self.names = parent, name, names
+        self.depth = parent.depth + 1 if parent else 0
+        self.element = name if name in _BLOCK else parent.element if parent else ""
+
+
 @dataclass
 class Block:
-    """Text with single blanks, numbers of its path's names (root first), shares of its characters within links, its element."""
+    """Text with single blanks, the element that it begins in, shares of its characters within links, its block element."""
 
     text: str
-    path: list[int]
+    path: Node | None
     linked: float
     element: str
 
@@ -54,21 +66,46 @@ def _number(kind: str, name: str) -> int:
 def _names(element: str, attributes: str) -> list[int]:
     out = [_number("element", element)]
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        out += [_number("part", x.lower()) for x in dict.fromkeys(_PART.findall(m[2] or m[3] or m[4] or ""))][:8]
+        out += [_number("part", x) for x in dict.fromkeys(x.lower() for x in _PART.findall(m[2] or m[3] or m[4] or ""))]
     return out
 
 
+class _Stack:
+    """Open elements, with the places of each name and of block elements, so that none is searched for."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def open(self, name: str, names: list[int]) -> None:
+        self.places[name].append(len(self.nodes))
+        if name in _BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(Node(self.nodes[-1] if self.nodes else None, name, names))
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, -1 if there is none."""
+        return max((self.places[x][-1] for x in names if self.places[x]), default=-1)
+
+    def close(self, at: int) -> None:
+        for node in self.nodes[at:]:
+            self.places[node.name].pop()
+            if node.name in _BLOCK:
+                self.blocks.pop()
+        del self.nodes[at:]
+
+
 def blocks(page: str) -> list[Block]:
     """All text of a page outside of scripts, styles, controls, other raw elements and the markup, in page order.
 
     Elements that are never closed end where HTML ends them: a paragraph at the next block, an item at the next item.
     """
     out: list[Block] = []
-    stack: list[tuple[str, list[int]]] = []
+    stack = _Stack()
     parts: list[str] = []
     linked = 0
-    links = 0  # open links
-    place: list[tuple[str, list[int]]] = []
+    place: Node | None = None
 
     def end() -> None:
         nonlocal linked, parts
@@ -76,23 +113,18 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 size = max(1, sum(map(len, parts)))
-                out.append(Block(text, [n for _, names in place for n in names], min(1.0, linked / size), next((e for e, _ in reversed(place) if e in _BLOCK), "")))
+                out.append(Block(text, place, min(1.0, linked / size), place.element if place else ""))
             parts, linked = [], 0
 
-    def close(at: int) -> None:
-        nonlocal links
-        links -= sum(e == "a" for e, _ in stack[at:])
-        del stack[at:]
-
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             if not parts:
-                place = list(stack)
+                place = stack.nodes[-1] if stack.nodes else None
             parts.append(text)
-            if links:
+            if stack.places["a"]:
                 linked += len(text)
         if not m:
             break
@@ -113,32 +145,24 @@ def blocks(page: str) -> list[Block]:
                         stop = page.find(">", found.end())
                         at = n if stop < 0 else stop + 1
                 continue
-            if name in _BLOCK and name not in ("br",):
-                opened = [e for e, _ in stack]
-                if "p" in opened:
-                    close(len(opened) - 1 - opened[::-1].index("p"))
+            if name in _BLOCK and name != "br":
+                if (k := stack.last("p")) >= 0:
+                    stack.close(k)
                 for other in _CLOSES.get(name, ()):
-                    opened = [e for e, _ in stack]
-                    if other in opened:
-                        k = len(opened) - 1 - opened[::-1].index(other)
-                        if not any(e in _HOLDS[name] for e in opened[k:]):
-                            close(k)
+                    if (k := stack.last(other)) > stack.last(*_HOLDS[name]):
+                        stack.close(k)
             if name not in _VOID:
-                stack.append((name, _names(name, m[3] or "")))
-                links += name == "a"
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in _BLOCK and stack[k][0] in _BLOCK:
-                    break  # the end of an inline element does not reach beyond its block
+                stack.open(name, _names(name, m[3] or ""))
+        elif (k := stack.last(name)) >= 0:
+            # the end of an inline element does not reach beyond its block
+            if name in _BLOCK or not stack.blocks or k > stack.blocks[-1]:
+                stack.close(k)
     end()
     return out
 
 
-def vectors(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Numbers of path names and of hashed words, and measures, of each block."""
+def vectors(found: list[Block]) -> tuple[list[Node | None], list[list[int]], np.ndarray]:
+    """Places in the tree, numbers of hashed words, and measures, of each block."""
     words = []
     rows = np.zeros((len(found), _MEASURES), np.float32)
     for i, b in enumerate(found):
@@ -149,6 +173,39 @@ def vectors(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.nd
     return [b.path for b in found], words, rows
 
 
+def _whole(node: Node | None) -> list[int]:
+    out = []
+    while node is not None:
+        out += node.names
+        node = node.parent
+    return out
+
+
+def _path_sums(paths: list[Node | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node the sum over its whole path, and the number of names there; each element is added to its parent once."""
+    place: dict[int, int] = {}
+    nodes: list[Node] = []
+    for node in paths:
+        while node is not None and id(node) not in place:
+            place[id(node)] = len(nodes)
+            nodes.append(node)
+            node = node.parent
+    total, size = np.zeros((len(nodes) + 1, table.shape[1]), np.float32), np.zeros(len(nodes) + 1, np.int64)  # the last row is no element
+    if nodes:
+        own = np.array([len(x.names) for x in nodes])
+        total[:-1] = np.add.reduceat(table[np.array([i for x in nodes for i in x.names])], np.cumsum(own) - own, axis=0)
+        size[:-1] = own
+        parent = np.array([place[id(x.parent)] if x.parent is not None else len(nodes) for x in nodes])
+        depth = np.array([x.depth for x in nodes])
+        order = np.argsort(depth, kind="stable")
+        edges = np.flatnonzero(np.diff(depth[order])) + 1
+        for level in np.split(order, edges)[1:]:
+            total[level] += total[parent[level]]
+            size[level] += size[parent[level]]
+    rows = np.array([place[id(x)] if x is not None else len(nodes) for x in paths], np.int64)
+    return total[rows], size[rows]
+
+
 _P, _W, _H = 24, 8, 24
 _IN = _P + _W + _MEASURES
 
@@ -163,27 +220,26 @@ class Labeller:
         for d in "fb":
             self.p |= {f"in_{d}": draw(_IN, 4 * _H, scale=0.2), f"re_{d}": draw(_H, 4 * _H, scale=0.2), f"bias_{d}": np.concatenate([np.zeros(_H), np.ones(_H), np.zeros(2 * _H)]).astype(np.float32)}
 
-    def inputs(self, pages: list[tuple[list[list[int]], list[list[int]], np.ndarray]]) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """(places, pages, _IN) with zeros after a page's end, which places are blocks, and what was added up where."""
+    def inputs(self, pages: list[tuple[list[Node | None], list[list[int]], np.ndarray]], flat: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(places, pages, _IN) with zeros after a page's end, which places are blocks; with ``flat``, what was added up where."""
         longest = max(len(m) for _, _, m in pages)
         x, mask = np.zeros((longest, len(pages), _IN), np.float32), np.zeros((longest, len(pages)), bool)
-        cell = [(t, b) for b, (_, _, m) in enumerate(pages) for t in range(len(m))]
-        t, b = np.array(cell).T
+        size = np.array([len(m) for _, _, m in pages])
+        t, b = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.arange(len(pages)), size)
         mask[t, b] = True
         sums = []
-        for name, which in (("path", 0), ("word", 1)):
-            lists = [row for page in pages for row in page[which]]
-            size = np.array([len(row) for row in lists])
-            flat = np.array([i for row in lists for i in row], np.int64)
-            owner = np.repeat(np.arange(len(lists)), size)
-            share = (1 / np.sqrt(np.maximum(size, 1))).astype(np.float32)[:, None]
-            total = np.zeros((len(lists), self.p[name].shape[1]), np.float32)
-            starts = np.cumsum(size) - size
-            has = size > 0
-            if len(flat):
-                total[has] = np.add.reduceat(self.p[name][flat], starts[has], axis=0)
-            sums.append((flat, owner, share))
-            x[t, b, slice(0, _P) if which == 0 else slice(_P, _P + _W)] = total * share
+        paths = [node for page in pages for node in page[0]]
+        found = [_path_sums(paths, self.p["path"])]
+        for which in (0, 1) if flat else (1,):
+            lists = [_whole(node) for node in paths] if which == 0 else [row for page in pages for row in page[1]]
+            n = np.array([len(row) for row in lists])
+            numbers = np.array([i for row in lists for i in row], np.int64)
+            if flat:
+                sums.append((numbers, np.repeat(np.arange(len(lists)), n), (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)[:, None]))
+            if which == 1:
+                found.append((np.add.reduceat(self.p["word"][numbers], np.cumsum(n) - n, axis=0), n))  # a block has a word
+        for (total, n), to in zip(found, (slice(0, _P), slice(_P, _P + _W)), strict=True):
+            x[t, b, to] = total / np.sqrt(np.maximum(n, 1)).astype(np.float32)[:, None]
         x[t, b, _P + _W :] = np.concatenate([m for _, _, m in pages])
         return x, mask, (t, b, sums)
 
@@ -205,15 +261,33 @@ class Labeller:
             out[t] = h
         return out, kept
 
+    def both(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Hidden states of both directions, place by place together: (places, pages, 2 * _H)."""
+        n, pages = x.shape[:2]
+        gates = np.stack([x @ self.p["in_f"] + self.p["bias_f"], (x @ self.p["in_b"] + self.p["bias_b"])[::-1]], 1)
+        on = np.stack([mask, mask[::-1]], 1)[..., None]
+        again = np.stack([self.p["re_f"], self.p["re_b"]])
+        full = mask.all()
+        h = c = np.zeros((2, pages, _H), np.float32)
+        out = np.zeros((n, 2, pages, _H), np.float32)
+        for t in range(n):
+            g = gates[t] + h @ again
+            ifo = 1 / (1 + np.exp(-np.clip(g[..., : 3 * _H], -30, 30)))
+            c2 = ifo[..., _H : 2 * _H] * c + ifo[..., :_H] * np.tanh(g[..., 3 * _H :])
+            h2 = ifo[..., 2 * _H :] * np.tanh(c2)
+            h, c = (h2, c2) if full else (np.where(on[t], h2, h), np.where(on[t], c2, c))
+            out[t] = h
+        return np.concatenate([out[:, 0], out[::-1, 1]], 2)
+
     def scores(self, pages: list) -> list[np.ndarray]:
         """The chance of main text for each block of each page; every page has a block."""
         x, mask, _ = self.inputs(pages)
-        both = np.concatenate([self.states(x, mask, "f")[0], self.states(x, mask, "b")[0], x], 2)
+        both = np.concatenate([self.both(x, mask), x], 2)
         y = _sigmoid(both @ self.p["top"] + self.p["top_bias"])[:, :, 0]
         return [y[: len(m), k] for k, (_, _, m) in enumerate(pages)]
 
     def gradients(self, pages: list, labels: list[np.ndarray]) -> dict[str, np.ndarray]:
-        x, mask, (t_at, b_at, sums) = self.inputs(pages)
+        x, mask, (t_at, b_at, sums) = self.inputs(pages, flat=True)
         hf, kf = self.states(x, mask, "f")
         hb, kb = self.states(x, mask, "b")
         both = np.concatenate([hf, hb, x], 2)

@@ -56,3 +56,28 @@ def test_markup():
     assert text("<p>1 < 2 &amp;&nbsp;3<p title='a>b'>x</p>y") == ["1 < 2 & 3", "x", "y"]
     assert text("<script>never closed") == [] and text("<p") == [] and text("x<!-- y") == ["x"]
     assert text("<p>a" * 3000)[-1] == "a"
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    deep = html.blocks("<div class=x>word " * 50_000)
+    assert len(deep) == 50_000 and deep[-1].path.depth == 49_999
+    x, _, _ = html.Labeller().inputs([html.vectors(deep)])
+    mixed = html.blocks("".join(f"<div class='{'a b ' * 20}'><b>x<td><table><li>" for _ in range(10_000)))
+    assert len(mixed) == 10_000 and x.shape[0] == 50_000
+    assert time.process_time() - began < 10
+
+
+def test_every_name_of_an_attribute_is_read():
+    names = " ".join("abcdefghijklmnopqrstuvwxyz"[k] * 4 for k in range(20))
+    (block,) = html.blocks(f"<div class='{names}'>x</div>")
+    assert len(block.path.names) == 21
+
+
+def test_directions_together_are_each_alone(net):
+    x, mask, _ = net.inputs([html.vectors(html.blocks(html.made_page(k))) for k in range(5)])
+    both = net.both(x, mask)
+    for d, cut in (("f", slice(0, html._H)), ("b", slice(html._H, None))):
+        assert np.allclose(np.where(mask[:, :, None], both[:, :, cut] - net.states(x, mask, d)[0], 0), 0, atol=1e-5)
