@@ -85,20 +85,20 @@ def sketch_documents(docs: DataFrame, k: int, t: int = COORDINATES, band: int =
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items): the whole set of each document as hashes, ascending. ``docs`` has doc_id and text."""
+    """(doc_id, text_id, items): the whole set of each text as hashes, ascending. ``docs`` has doc_id and text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, to, row, value in _sets(batch.column(1), k):
                 n = to - first
                 steps = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.ListArray.from_arrays(pa.array(steps), pa.array(value.view(np.int64)))], ["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.ListArray.from_arrays(pa.array(steps), pa.array(value.view(np.int64)))], ["doc_id", "text_id", "items"])
 
-    return docs.select("doc_id", "text").transform(text_batches).mapInArrow(each, "doc_id long, items array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).transform(text_batches).mapInArrow(each, "doc_id long, text_id long, items array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike: 100 * intersection >= percent * union."""
+    """Those of ``pairs`` (a, b) of which any two sets are alike: 100 * intersection >= percent * union."""
     one, two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
     both = pairs.join(one, "b").join(two, "a")
     shared = F.size(F.array_intersect("ia", "ib"))
@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, t: int = COO
     Texts whose sets of distinct ``k``-word shingles have a similarity of ``percent`` or more are linked, whatever their
     number; component_id is the least doc_id that can be reached. Words are runs of other bytes than ASCII white space,
     A-Z count as a-z; a text of fewer words is one shingle. Null and empty texts and those of white space are alone.
-    Rows that repeat a doc_id are one document. A null doc_id has n_shingles, no component and is kept. An empty table
+    Rows that repeat a doc_id are one document, which is linked through each of its texts. A null doc_id has n_shingles, no component and is kept. An empty table
     gives an empty result. Other columns of ``docs`` are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -128,9 +128,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, t: int = COO
     if near.isEmpty():
         links = pairs
     else:
-        sets = saved(shingle_sets(texts.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
+        sets = saved(shingle_sets(texts.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), k))
         links = saved(_verified(pairs, sets, percent))
         links = _open_links(inside, links, sets, percent)
+    # a document of several texts ties the documents that stand for them together
+    which = F.struct("set_lo", "set_hi", "n_shingles")
+    several = ids.groupBy("doc_id").agg(F.min(which).alias("lo"), F.max(which).alias("hi")).where("lo <> hi").select("doc_id")
+    tied = ids.join(several, "doc_id", "left_semi").select("doc_id", "set_lo", "set_hi", "n_shingles").join(same.drop("bands").withColumnRenamed("doc_id", "rep"), ["set_lo", "set_hi", "n_shingles"])
+    links = links.union(tied.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     groups = components(links)
     reps = same.select("set_lo", "set_hi", "n_shingles", F.col("doc_id").alias("rep"))
     final = reps.join(groups, F.col("rep") == F.col("node"), "left").select("set_lo", "set_hi", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -178,8 +183,8 @@ def _prefix_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     items = left.join(sets, "doc_id").select(F.explode("items").alias("item"))
     counts = saved(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     # items of one document come first and match none: only their number matters
-    common = left.join(sets, "doc_id").select("doc_id", "component", F.size("items").alias("n"), F.explode("items").alias("item")).join(counts, "item")
-    ranked = common.groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("shared"))
+    common = left.join(sets, "doc_id").select("doc_id", "text_id", "component", F.size("items").alias("n"), F.explode("items").alias("item")).join(counts, "item")
+    ranked = common.groupBy("doc_id", "text_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("shared"))
     ranked = ranked.withColumn("single", F.col("n") - F.size("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     ranked = ranked.where(prefix > F.col("single")).select("doc_id", "component", "n", "single", F.posexplode(F.slice("shared", F.lit(1), prefix - F.col("single"))).alias("p", "s"))

@@ -66,6 +66,23 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_document_of_several_texts_ties_them_together(spark):
+    w = [f"w{i}" for i in range(200)]
+    a, b = " ".join(w[:100]), " ".join(w[100:])
+    near = lambda text: text.replace("w50 ", "x ").replace("w150 ", "y ")
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, " ".join(reversed(w))), (7, a), (7, "one two three four five"), (6, "one two three four five")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = {(x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (6, 1, False), (7, 1, False)}
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, text), (2, text.replace("w7 ", "x ")), (3, text[: len(text) // 2])]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0] == got[2][0] == 149_997 and (got[1][1], got[2][1], got[3][1]) == (1, 1, 3)
+
+
 def test_sketches_fill_and_agree_like_the_sets():
     n, t = 400, 128
     shared = np.arange(300, dtype=np.uint64)
