@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.llm.tables import read, text_batches
+from spectrail.llm.tables import fresh, read, text_batches
 
 # Words that names of secrets hold, and words beside values that are none.
 NAMES = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "credential", "bearer", "key")
@@ -144,7 +144,7 @@ def features(value: str, kind: str, before: str, after: str, path: str) -> list[
     usual = sum(a + b in _COMMON for a, b in letters) / max(1, len(letters))
     covered = set()
     for size in range(4, 13):
-        for i in range(max(0, min(len(low), 400) - size + 1)):
+        for i in range(max(0, len(low) - size + 1)):
             if low[i : i + size] in _DICTIONARY:
                 covered |= set(range(i, i + size))
     words_before = [w.lower() for w in _NEAR.findall(before)][-4:]
@@ -300,7 +300,8 @@ _FOUND = "doc_id long, start long, length long, kind string, value string, score
 def scan(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """(doc_id, start, length, kind, value, score, is_secret): every candidate of every whole text, places in code points.
 
-    Null and empty texts have none; repeated rows give repeated results; a null path is empty. Other columns are not read.
+    Null and empty texts have none; repeated rows give repeated results; a null path is empty. An empty table gives an empty
+    result. Other columns are not read.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +317,10 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: str = "doc
 
 
 def redact(docs: DataFrame, forest: Forest, least: float = 0.5, text_col: str = "text", path_col: str | None = "source", label: str = LABEL) -> DataFrame:
-    """``docs`` with ``label`` in place of each secret; all rows and columns stay, and texts without a secret as they are."""
+    """``docs`` with ``label`` in place of each secret; all rows and columns stay, and texts without a secret as they are.
+
+    Null texts stay null, a null path is empty, rows that repeat stay, and columns may have any names.
+    """
     names = docs.columns
     at = names.index(text_col)
 
@@ -336,7 +340,8 @@ def redact(docs: DataFrame, forest: Forest, least: float = 0.5, text_col: str =
             yield batch.select(list(range(len(names))))
 
     path = F.col(path_col).cast("string") if path_col else F.lit("")
-    return docs.select("*", suspect(F.col(text_col)).alias("_suspect"), path.alias("_path")).transform(text_batches).mapInArrow(each, docs.schema)
+    flag, place = fresh(docs, "suspect", "path")
+    return docs.select("*", suspect(F.col(text_col)).alias(flag), path.alias(place)).transform(text_batches).mapInArrow(each, docs.schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, lengthened where ``df`` has such a column, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def with_columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``, in its order."""
     return df.select(*like.columns)
