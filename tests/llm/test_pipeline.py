@@ -39,3 +39,30 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, ""))
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_names(spark):
+    extra = ["score", "lang_pred", "kept_id", "suspect", "path", "size", "taken", "whole", "key_id", "component_id", "_text", "c1"]
+    long_ = " ".join(f"word{i} and some more of it" for i in range(30_000))
+    texts = [None, "", " \n", "123 456", "one plain sentence of a few words", "one plain sentence of a few words", "an other text, with password = hunter2Xq9!zz in it", long_]
+    rows = [(i, t, None if i == 4 else "en", None if i % 2 else "s", None, *["x"] * len(extra)) for i, t in enumerate(texts)]
+    rows += [rows[6], (None, "a text without any id at all", None, None, None, *["y"] * len(extra))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in extra)
+    docs = spark.createDataFrame(rows, schema)
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, ""))
+        left.append([r.asDict() for r in docs.collect()])
+        assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+    language, near, clean, mixed = left
+    ids = lambda rows: sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in rows)
+    assert ids(language) == [-1, 4, 5, 6, 6, 7] and ids(near) == ids(clean) == [-1, 4, 6, 6, 7]
+    assert all(r["score"] == ("y" if r["doc_id"] is None else "x") for r in mixed)
+    assert not any("hunter2" in r["text"] for r in clean) and all(r["n_chars"] == len(r["text"]) for r in clean + mixed)
+    assert saved(corpus_pipeline.STAGES[-1][1](spark, docs, "")).count() >= len(mixed)
+
+
+def test_no_label_keeps_what_has_a_letter(spark):
+    rows = [(1, "some text", None, "s", 9), (2, None, "en", "s", None), (3, "12", None, "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()] == [1]
