@@ -27,7 +27,7 @@ LIBRARY = (
 PRECURSORS = ("c_custkey AS precursor_idx", "20 * ((c_custkey * 7) % slices) AS fragment_spectrum_start", "cast(20 AS bigint) AS fragment_event_cnt", "cast(234 AS bigint) AS charges")
 FRAGMENTS = (
     "event_id AS sage_fragment_idx",
-    "event_id % 300 AS psm_id",
+    "o_orderkey AS psm_id",
     "cast(200.0e0 + 7 * ((event_id * 7) % 20) + 0.1e0 * (cast(floor(fragment_spectrum_start / 20.0e0) AS bigint) % 50) + ((event_id % 9) - 4) * 0.0003e0 AS float) AS fragment_mz_experimental",
 )
 RUNS = (
@@ -61,10 +61,13 @@ def precursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").where("o_orderkey < 300")
+    """Every event is a fragment of one of all PSMs."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    size = orders.agg(F.count(F.lit(1)).alias("psms"))  # one row
     starts = precursors(spark, sf_dir).select("precursor_idx", "fragment_spectrum_start")
     events = table(spark, sf_dir, "events").select("event_id")
-    joined = events.join(orders, F.expr("event_id % 300 = o_orderkey")).join(starts, F.expr("o_custkey = precursor_idx"))
+    owned = events.crossJoin(size).withColumn("own", F.expr("event_id % psms"))
+    joined = owned.join(orders, F.expr("own = o_orderkey")).join(starts, F.expr("o_custkey = precursor_idx"))
     return joined.selectExpr(*FRAGMENTS)
 
 
@@ -81,6 +84,6 @@ SQL = f"""
 psms AS (SELECT {', '.join(PSMS)} FROM orders),
 library AS (SELECT {', '.join(LIBRARY)} FROM part),
 precursors AS (SELECT {', '.join(PRECURSORS)} FROM customer, (SELECT cast(floor(count(*) / 20.0e0) AS bigint) AS slices FROM part)),
-fragments AS (SELECT {', '.join(FRAGMENTS)} FROM events JOIN orders ON event_id % 300 = o_orderkey JOIN precursors ON o_custkey = precursor_idx WHERE o_orderkey < 300),
+fragments AS (SELECT {', '.join(FRAGMENTS)} FROM events JOIN orders ON event_id % (SELECT count(*) FROM orders) = o_orderkey JOIN precursors ON o_custkey = precursor_idx),
 runs AS (SELECT {', '.join(RUNS)} FROM orders)
 """
