@@ -14,7 +14,7 @@ from spectrail.llm import language, mixing, neardup, packing, secrets
 from spectrail.llm.tables import WORD, fresh, read, saved, with_columns_of
 
 #: A text whose best language has a smaller mean chance is no text of one language.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
