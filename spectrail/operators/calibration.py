@@ -23,8 +23,8 @@ def split(psms: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFram
     return train, test
 
 
-def boosted(train: DataFrame, target: str, feature: str = "expmass", trees: int = 50, depth: int = 6) -> PipelineModel:
-    """Boosted trees for the absolute error."""
+def boosted(train: DataFrame, target: str, feature: str = "expmass", trees: int = 400, depth: int = 6) -> PipelineModel:
+    """Boosted trees for the absolute error; each tree sees four fifths of the rows."""
     trees_ = GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=42)
     return Pipeline(stages=[VectorAssembler(inputCols=[feature], outputCol="features"), trees_]).fit(train)
 

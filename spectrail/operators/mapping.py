@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import digits_within, packed_digits, scan_number
+from spectrail.operators.distribution import quantiles
 
 
 class IntegrityError(ValueError):
@@ -144,10 +145,8 @@ def mapping_rows(hits: DataFrame, mapped: DataFrame) -> DataFrame:
 
 def delta_quantiles(hits: DataFrame) -> DataFrame:
     """101 rows: quantiles 0, 0.01 .. 1 of the signed m/z differences, linear between neighbours; null without hits."""
-    levels = [i * 0.01 for i in range(101)]
-    found = hits.agg(F.percentile(F.col("mz_delta").cast("double"), F.array(*[F.lit(min(1.0, x)) for x in levels])).alias("q"))
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: F.struct((i * F.lit(0.01)).alias("quantile"), F.get(F.col("q"), i).alias("d"))))
-    return found.select(each.alias("x")).select(F.col("x.quantile").alias("quantile"), F.col("x.d").cast("float").alias("mz_delta"))
+    found = quantiles(hits, "mz_delta", [i * 0.01 for i in range(101)])
+    return hits.sparkSession.createDataFrame([(i * 0.01, x) for i, x in enumerate(found)], "quantile double, mz_delta double").withColumn("mz_delta", F.col("mz_delta").cast("float"))
 
 
 def match_metrics(merged: DataFrame, hits: DataFrame) -> DataFrame:

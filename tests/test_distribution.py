@@ -72,3 +72,15 @@ def test_labels_and_messages():
     assert d.drop_message("scores", 5, 5) is None and "2 of 5" in d.drop_message("scores", 5, 3)
     label = d.plot_label("method", " | ".join(f"k{i}={i}" for i in range(40)), 1.23456)
     assert label.endswith("1.235") and max(map(len, label.split("\n"))) <= 80
+
+
+def test_exact_quantiles_over_many_ranges(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    values = np.concatenate([r.normal(size=700), np.repeat(0.25, 300), [5.0]])
+    rows = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+    levels = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    for per_task in (1_000_000, 90, 7):
+        assert np.allclose(d.quantiles(rows, "x", levels, per_task), np.quantile(values, levels), rtol=0, atol=1e-12)
+    assert d.quantiles(rows.limit(0), "x", levels) == [None] * 6
