@@ -129,33 +129,36 @@ def quantiles(rows: DataFrame, value: str, levels: list[float], per_task: int =
 
     Approximate quantiles cut the values into ranges of about ``per_task``. Counts of the ranges, at most 1,000 rows, say
     which of them hold the neighbours that are asked for; within those, running counts of distinct values find them. So no
-    task holds more than the distinct values of a range.
+    task holds more than the distinct values of a range. Counts of distinct values are kept while this runs, for four passes.
     """
-    counts = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return [None] * len(levels)
-    places = [min(1.0, x) * (total - 1) for x in levels]
-    wanted = sorted({k for p in places for k in (int(p), min(total - 1, int(p) + 1))})
-    parts = min(1000, -(-total // per_task))
-    cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * parts)).first()[0])) if parts > 1 else []
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("v")))
-    ranged = counts.withColumn("part", part)
-    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    starts, before = {}, 0
-    for k in sorted(sizes):
-        starts[k], before = before, before + sizes[k]
-    held = [k for k in starts if any(starts[k] <= w < starts[k] + sizes[k] for w in wanted)]
-    start = F.element_at(F.create_map(*[F.lit(x) for k in held for x in (k, starts[k])]), F.col("part"))
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
-    placed = ranged.where(F.col("part").isin(held)).withColumn("upto", start + upto)
-    hit = F.filter(F.array(*map(F.lit, wanted)), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))
-    at = {r["w"]: r["v"] for r in placed.select("v", F.explode(hit).alias("w")).collect()}  # two values for each level at most
-    low = [at[int(p)] for p in places]
-    high = [at[min(total - 1, int(p) + 1)] for p in places]
-    return [a if a == b else (int(p) + 1 - p) * a + (p - int(p)) * b for p, a, b in zip(places, low, high, strict=True)]
+    counts = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        if not total:
+            return [None] * len(levels)
+        places = [min(1.0, x) * (total - 1) for x in levels]
+        wanted = sorted({k for p in places for k in (int(p), min(total - 1, int(p) + 1))})
+        parts = min(1000, -(-total // per_task))
+        cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * parts)).first()[0])) if parts > 1 else []
+        part = F.lit(0)
+        if cuts:
+            part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("v")))
+        ranged = counts.withColumn("part", part)
+        sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+        starts, before = {}, 0
+        for k in sorted(sizes):
+            starts[k], before = before, before + sizes[k]
+        held = [k for k in starts if any(starts[k] <= w < starts[k] + sizes[k] for w in wanted)]
+        start = F.element_at(F.create_map(*[F.lit(x) for k in held for x in (k, starts[k])]), F.col("part"))
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+        placed = ranged.where(F.col("part").isin(held)).withColumn("upto", start + upto)
+        hit = F.filter(F.array(*map(F.lit, wanted)), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))
+        at = {r["w"]: r["v"] for r in placed.select("v", F.explode(hit).alias("w")).collect()}  # two values for each level at most
+        low = [at[int(p)] for p in places]
+        high = [at[min(total - 1, int(p) + 1)] for p in places]
+        return [a if a == b else (int(p) + 1 - p) * a + (p - int(p)) * b for p, a, b in zip(places, low, high, strict=True)]
+    finally:
+        counts.unpersist()
 
 
 def intensity_quantile(peaks: DataFrame, level: float = 0.3, score: str = "score", intensity: str = "intensity") -> float | None:
