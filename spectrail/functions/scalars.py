@@ -49,6 +49,7 @@ def widened(low: float, high: float) -> tuple[float, float]:
     """A range of one value gets a little room on both sides."""
     if low != high:
         return low, high
+    # The room, since bins depend on it.
     room = max(abs(low) * 1e-6, 1e-6)
     return low - room, high + room
 

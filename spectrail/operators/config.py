@@ -17,6 +17,9 @@ def _need(good: bool, what: str) -> None:
         raise ConfigError(what)
 
 
+# Names and defaults of the fields in the classes below are those of the file format.
+
+
 @dataclass
 class Enzyme:
     missed_cleavages: int = 2

@@ -114,6 +114,7 @@ def read_summary(path: str) -> dict[str, int]:
     return {n: int(v) for n, v in zip(names, values, strict=True) if n != "label"}
 
 
+# Names of the metrics in a log.
 METRICS = ("ions", "peptides", "proteins", "psms")
 
 
