@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import bin_of, edges, finite, log_intensity, widened
+from spectrail.sources.shared import saved
 
 BINS_1D, BINS_2D, BINS_FACET = 100, 200, 50
 
@@ -34,11 +35,16 @@ class Axis:
         return bin_of(x.cast("double"), self.low, self.high, self.bins)
 
 
-def passing(peaks: DataFrame, threshold: float | None = None, score: str = "score", intensity: str = "intensity") -> DataFrame:
-    """Peaks of finite score and log-intensity, the latter at least ``threshold`` where one is given."""
+def passes(threshold: float | None = None, score: str = "score", intensity: str = "intensity") -> Column:
+    """Score and log-intensity are finite, the latter at least ``threshold`` where one is given."""
     log = log_intensity(F.col(intensity))
-    rows = peaks.where(finite(F.col(score).cast("double")) & finite(log))
-    return rows if threshold is None else rows.where(log >= F.lit(threshold))
+    good = finite(F.col(score).cast("double")) & finite(log)
+    return good if threshold is None else good & (log >= F.lit(threshold))
+
+
+def passing(peaks: DataFrame, threshold: float | None = None, score: str = "score", intensity: str = "intensity") -> DataFrame:
+    """The peaks that pass."""
+    return peaks.where(passes(threshold, score, intensity))
 
 
 def ranges(peaks: DataFrame, threshold: float | None = None, score: str = "score", intensity: str | None = "intensity") -> DataFrame:
@@ -118,6 +124,12 @@ def density(counts: DataFrame, count: str, width: float, out: str = "density") -
     return counts.withColumn("_total", total).withColumn(out, F.when(F.col("_total") > 0, positive / (F.col("_total") * F.lit(width))).otherwise(F.lit(0.0))).drop("_total")
 
 
+def shares(cells: DataFrame, count: str, out: str) -> DataFrame:
+    """Adds a cell's part of all counts, also below zero; zeros where they add up to nothing. Rows are as many as the grid has cells."""
+    total = F.sum(count).over(Window.partitionBy(F.lit(0)))
+    return cells.withColumn("_total", total).withColumn(out, F.when(F.col("_total") > 0, F.col(count) / F.col("_total")).otherwise(F.lit(0.0))).drop("_total")
+
+
 def facets(matched: DataFrame, axis: Axis, score: str = "score", charge: str = "charge") -> DataFrame:
     """(charge, bin, count) of matched peaks with a charge."""
     rows = matched.where(F.col(charge).isNotNull() & finite(F.col(score).cast("double")))
@@ -195,36 +207,52 @@ def plot_label(method: str, params: str, threshold: float | None = None, width:
 
 @dataclass
 class Slice:
-    """The plot data of one slice of the peaks."""
+    """The plot data of one slice of the peaks; ``notes`` tell of dropped rows."""
 
     name: str
+    threshold: float | None
     score_axis: Axis
     log_axis: Axis
     cells: DataFrame
+    contours: DataFrame
     scores: DataFrame
     by_charge: DataFrame
+    notes: list[str]
 
 
 def slice_data(name: str, library: DataFrame, matched: DataFrame, threshold: float | None = None) -> Slice | None:
-    """All and matched counts by cell, by score with densities, and by charge; None where no peak is finite or none is matched."""
+    """All and matched counts by cell with shares, the shares smoothed, counts by score with densities, and by charge.
+
+    None where no peak is finite or none is matched.
+    """
     found = axes(library, threshold)
-    good = passing(matched, threshold).where("charge IS NOT NULL")
-    if found is None or good.isEmpty():
+    good = passes(threshold) & F.col("charge").isNotNull()
+    rows, kept = matched.agg(F.count(F.lit(1)), F.count_if(good)).first()
+    if found is None or not kept:
         return None
     score, log = found
-    cells = unmatched(histogram_2d(library, score, log, threshold), histogram_2d(good, score, log, threshold), ["log_bin", "score_bin"])
+    matched_good = matched.where(good)
+    cells = unmatched(histogram_2d(library, score, log, threshold), histogram_2d(matched_good, score, log, threshold), ["log_bin", "score_bin"])
     counts = marginal(cells, "score_bin", "all_count", "matched_count", "unmatched_count")
     for count in ("all_count", "matched_count", "unmatched_count"):
         counts = density(counts, count, score.width, count.replace("count", "density"))
+    for part in ("matched", "unmatched"):
+        cells = shares(cells, f"{part}_count", f"{part}_share")
+    smooth = [smoothed(cells, log, score, f"{part}_share").withColumnRenamed("smooth", part) for part in ("matched", "unmatched")]
+    contours = smooth[0].join(smooth[1], ["log_bin", "score_bin"], "full")
     facet = Axis(score.low, score.high, BINS_FACET, score.n)
-    return Slice(name, score, log, cells, counts, facets(good, facet))
+    notes = [drop_message(f"{name}, matched", rows, kept), drop_message(f"{name}, all", library.count(), score.n)]
+    return Slice(name, threshold, score, log, cells, contours, counts, facets(matched_good, facet), [x for x in notes if x])
 
 
 def compare_scores(library: DataFrame, mapping: DataFrame, mapped: DataFrame, level: float = 0.3, distinct: bool = False) -> list[Slice]:
-    """Slices "all" and "q30" (peaks from the intensity quantile on); empty without finite or matched peaks."""
-    matched = matched_peaks(library, mapping, mapped, distinct)
+    """Slices "all" and "q30"; empty without finite or matched peaks.
+
+    The second holds the peaks from the quantile of the matched ones' intensity on. Matched peaks are written once.
+    """
+    matched = saved(matched_peaks(library, mapping, mapped, distinct))
     out = [slice_data("all", library, matched)]
-    threshold = intensity_quantile(library, level)
+    threshold = intensity_quantile(matched, level)
     if threshold is not None:
         out.append(slice_data("q30", library, matched, threshold))
     return [s for s in out if s is not None]

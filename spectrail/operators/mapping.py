@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import digits_within, packed_digits, scan_number
 from spectrail.operators.distribution import quantiles
+from spectrail.sources.shared import saved
 
 
 class IntegrityError(ValueError):
@@ -58,6 +59,11 @@ def repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).count().where("count > 1").select(key)
 
 
+def first_of(rows: DataFrame, key: str, n: int = 20) -> DataFrame:
+    """The ``n`` least keys, in order."""
+    return rows.select(key).orderBy(key).limit(n)
+
+
 def validate(psms: DataFrame, precursors: DataFrame, merged: DataFrame, groups: DataFrame) -> None:
     """Raises IntegrityError for repeated keys, unsubmitted precursors and foreign charges, with the first of them."""
     checks = (
@@ -67,7 +73,7 @@ def validate(psms: DataFrame, precursors: DataFrame, merged: DataFrame, groups:
         ("precursor with charges that were not submitted", foreign_charges(groups), "precursor_idx"),
     )
     for what, rows, key in checks:
-        first = [r[0] for r in rows.select(key).orderBy(key).limit(20).collect()]
+        first = [r[0] for r in first_of(rows, key).collect()]
         if first:
             raise IntegrityError(f"{rows.count()} x {what}; the first: {first}")
 
@@ -129,7 +135,7 @@ def mapped_counts(hits: DataFrame, groups: DataFrame) -> DataFrame:
     bucket = F.floor(F.col("precursor_idx") / F.lit(BUCKET)).alias("_bucket")
     counts = hits.groupBy("precursor_idx").agg(F.count(F.lit(1)).alias("mapped_cnt")).select("*", bucket)
     before = lambda w: F.coalesce(F.sum("mapped_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = hits.select(bucket).groupBy("_bucket").agg(F.count(F.lit(1)).alias("mapped_cnt"))
+    sums = counts.groupBy("_bucket").agg(F.sum("mapped_cnt").alias("mapped_cnt"))
     starts = sums.select("_bucket", before(Window.orderBy("_bucket")).alias("_start"))
     inside = counts.withColumn("_inside", before(Window.partitionBy("_bucket").orderBy("precursor_idx")))
     placed = inside.join(starts, "_bucket").withColumn("mapped_idx", F.col("_start") + F.col("_inside"))
@@ -165,14 +171,14 @@ class MappingTables:
 
 
 def map_fragments(psms: DataFrame, fragments: DataFrame, precursors: DataFrame, library: DataFrame, tolerance: float = 0.001, compat_stall: bool = False, check: bool = True) -> MappingTables:
-    """The whole chain: resolve, validate, match, and the three tables. The matches are kept, since all three need them."""
-    merged = resolve(fragments, psms, precursors)
+    """The whole chain: resolve, validate, match, and the three tables. What they share is written once, in the shared folder."""
+    merged = saved(resolve(fragments, psms, precursors))
     groups = precursor_groups(merged)
     if check:
         validate(psms, precursors, merged, groups)
         gaps = missing_peaks(precursors, library).limit(1).collect()
         if gaps:
             raise IntegrityError(f"a slice reaches beyond the library: {gaps[0].asDict()}")
-    hits = nearest(merged, precursors, library, tolerance, compat_stall).persist()
+    hits = saved(nearest(merged, precursors, library, tolerance, compat_stall))
     mapped = mapped_counts(hits, groups)
     return MappingTables(mapping_rows(hits, mapped), mapped, delta_quantiles(hits))

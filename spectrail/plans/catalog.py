@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrail import schemas
 from spectrail.functions.scalars import digits_within, log_intensity
 from spectrail.operators import calibration, distribution, mapping, registry, spectra, summary
 from spectrail.plans import fixtures as fx
 from spectrail.sources import tables
+from spectrail.sources.shared import new_path, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +104,12 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.nearest(_merged(spark, sf_dir), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), TOLERANCE)
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fragments with their precursors, and their hits, each written once for a query that reads them repeatedly."""
+    merged = saved(_merged(spark, sf_dir))
+    return merged, saved(mapping.nearest(merged, fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), TOLERANCE))
+
+
 @query(_MERGED + "SELECT sage_fragment_idx, psm_id, precursor_idx, charge, fragment_spectrum_start, fragment_event_cnt, submitted_charges FROM merged")
 def fragment_psm_precursor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("sage_fragment_idx", "psm_id", "precursor_idx", "charge", "fragment_spectrum_start", "fragment_event_cnt", "submitted_charges")
@@ -134,13 +142,14 @@ def nearest_fragment_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MERGED + "SELECT * FROM mapped")
 def mapped_precursor_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.mapped_counts(_hits(spark, sf_dir), mapping.precursor_groups(_merged(spark, sf_dir)))
+    merged, hits = _kept(spark, sf_dir)
+    return mapping.mapped_counts(hits, mapping.precursor_groups(merged))
 
 
 @query(_MERGED + "SELECT pmsms_fragment_idx, sage_fragment_idx, mapped_idx + row_number() OVER (PARTITION BY precursor_idx ORDER BY sage_fragment_idx, psm_id) - 1 AS mapping_row, precursor_idx FROM hits JOIN mapped USING (precursor_idx)")
 def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir)
-    return mapping.mapping_rows(hits, mapping.mapped_counts(hits, mapping.precursor_groups(_merged(spark, sf_dir))))
+    merged, hits = _kept(spark, sf_dir)
+    return mapping.mapping_rows(hits, mapping.mapped_counts(hits, mapping.precursor_groups(merged)))
 
 
 @query(_MERGED + "SELECT i * 0.01e0 AS quantile, cast(round(quantile_cont(cast(mz_delta AS double), [LEAST(1.0e0, x * 0.01e0) FOR x IN range(101)])[i + 1], 6) AS double) AS mz_delta FROM hits, range(101) r(i) GROUP BY i")
@@ -203,8 +212,8 @@ def score_intensity_hist_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, groups = _hits(spark, sf_dir), mapping.precursor_groups(_merged(spark, sf_dir))
-    return distribution.matched_peaks(fx.library(spark, sf_dir), hits, groups)
+    merged, hits = _kept(spark, sf_dir)
+    return saved(distribution.matched_peaks(fx.library(spark, sf_dir), hits, mapping.precursor_groups(merged)))
 
 
 @query(
@@ -228,16 +237,20 @@ def score_density_by_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.facets(_matched(spark, sf_dir), distribution.Axis(score.low, score.high, distribution.BINS_FACET, score.n))
 
 
-@query(f", t AS (SELECT quantile_cont({_LOG}, 0.3) AS q FROM library WHERE {_FINITE}) SELECT round(q, 9) AS threshold, count(*) AS n, sum(score) AS score_sum FROM library, t WHERE {_FINITE} AND {_LOG} >= q GROUP BY q")
+_T30 = f", t AS (SELECT quantile_cont({_LOG}, 0.3) AS q FROM hits JOIN library ON pmsms_fragment_idx = fragment_idx WHERE {_FINITE})"
+
+
+@query(_MERGED + _T30 + f" SELECT round(q, 9) AS threshold, count(*) AS n, sum(score) AS score_sum FROM library, t WHERE {_FINITE} AND {_LOG} >= q GROUP BY q")
 def intensity_q30_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = fx.library(spark, sf_dir)
-    q = distribution.intensity_quantile(lib)
+    q = distribution.intensity_quantile(_matched(spark, sf_dir))
     return distribution.passing(lib, q).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum")).select(F.round(F.lit(q), 9).alias("threshold"), "n", "score_sum")
 
 
 @query(_MERGED + "SELECT mapped_idx + i AS mapping_row, detected_charges AS charge FROM mapped, LATERAL (SELECT unnest(range(mapped_cnt)) AS i)")
 def charge_per_mapping_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distribution.charge_of_rows(mapping.mapped_counts(_hits(spark, sf_dir), mapping.precursor_groups(_merged(spark, sf_dir))))
+    merged, hits = _kept(spark, sf_dir)
+    return distribution.charge_of_rows(mapping.mapped_counts(hits, mapping.precursor_groups(merged)))
 
 
 _BEST = "max(peptide_count) OVER (PARTITION BY dataset, cfg, search_engine ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)"
@@ -279,12 +292,15 @@ def log_metrics_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.log_metrics_of(fx.log_lines(spark, sf_dir), "line").select("id", *tables.METRICS)
 
 
-@query("SELECT concat('S', cast(floor(fragment_idx / 20.0e0) AS bigint)) AS title, cast(max(intensity) AS double) AS max_mz FROM library GROUP BY 1")
-def spectra_max_mz(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = fx.library(spark, sf_dir).selectExpr("cast(floor(fragment_idx / 20.0e0) AS bigint) AS s", "concat(intensity, ' ', fragment_idx) AS line")
     text = lines.groupBy("s").agg(F.collect_list("line").alias("lines"))
-    records = text.select(F.concat(F.lit("BEGIN IONS\nTITLE=S"), "s", F.lit("\nCHARGE=2+\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("spectrum"))
-    return spectra.max_fragment_mz(records)
+    return text.select(F.concat(F.lit("BEGIN IONS\nTITLE=S"), "s", F.lit("\nCHARGE=2+\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("spectrum"))
+
+
+@query("SELECT concat('S', cast(floor(fragment_idx / 20.0e0) AS bigint)) AS title, cast(max(intensity) AS double) AS max_mz FROM library GROUP BY 1")
+def spectra_max_mz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.max_fragment_mz(_spectra(spark, sf_dir))
 
 
 @query("SELECT min(precursor_ppm) AS precursor_ppm_min, max(precursor_ppm) AS precursor_ppm_max, min(fragment_ppm) AS fragment_ppm_min, max(fragment_ppm) AS fragment_ppm_max FROM psms")
@@ -307,11 +323,10 @@ def log_intensity_of_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MERGED + "SELECT count(*) AS fragments, count(m.submitted_charges) AS resolved, count(h.pmsms_fragment_idx) AS matched, 100.0e0 * count(h.pmsms_fragment_idx) / count(*) AS matched_percent FROM merged m LEFT JOIN hits h USING (sage_fragment_idx, psm_id)")
 def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.match_metrics(_merged(spark, sf_dir), _hits(spark, sf_dir))
+    return mapping.match_metrics(*_kept(spark, sf_dir))
 
 
-_Q30 = f"""
-, t AS (SELECT quantile_cont({_LOG}, 0.3) AS q FROM library WHERE {_FINITE}),
+_Q30 = f"""{_T30},
 good AS (SELECT fragment_idx, score AS x, {_LOG} AS y FROM library, t WHERE {_FINITE} AND {_LOG} >= q),
 r AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM good),
 cells AS (SELECT fragment_idx, {_bin_sql('y', 'y0', 'y1', 200)} AS log_bin, {_bin_sql('x', 'x0', 'x1', 200)} AS score_bin FROM good, r),
@@ -322,8 +337,8 @@ SELECT score_bin, coalesce(all_count, 0) AS all_count, coalesce(matched_count, 0
 
 @query(_MERGED + _Q30)
 def q30_score_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib = fx.library(spark, sf_dir)
-    found = distribution.slice_data("q30", lib, _matched(spark, sf_dir), distribution.intensity_quantile(lib))
+    matched = _matched(spark, sf_dir)
+    found = distribution.slice_data("q30", fx.library(spark, sf_dir), matched, distribution.intensity_quantile(matched))
     return found.scores.select("score_bin", "all_count", "matched_count", "unmatched_count")
 
 
@@ -346,3 +361,80 @@ def smoothed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = fx.library(spark, sf_dir)
     score, log = distribution.axes(lib)
     return distribution.smoothed(distribution.histogram_2d(lib, score, log), log, score).select("log_bin", "score_bin", F.round("smooth", 8).alias("smooth"))
+
+
+_BAD = "psm_id % 50 = 0 OR psm_id % 60 = 7"
+
+
+def _tab_lines(psms: DataFrame, path: str) -> str:
+    """PSMs as tables with tabs and a header in each file: every 50th row has a field too many, some have a charge that is no number."""
+    names = [f.name for f in schemas.PSMS]
+    fields = ["CASE WHEN psm_id % 60 = 7 THEN 'two' ELSE cast(charge AS string) END" if n == "charge" else f"coalesce(cast({n} AS string), '')" for n in names]
+    line = f"concat(concat_ws('\t', {', '.join(fields)}), CASE WHEN psm_id % 50 = 0 THEN '\tmore' ELSE '' END)"
+    psms.select(F.expr(line).alias("\t".join(names))).write.option("header", True).option("sep", "\x01").csv(path)
+    return path
+
+
+@query(f"SELECT psm_id, peptide, charge, proteins, spectrum_q FROM psms WHERE NOT ({_BAD})")
+def tsv_to_parquet_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = _tab_lines(fx.psms(spark, sf_dir), new_path(spark)), new_path(spark)
+    tables.tsv_to_parquet(spark, source, target, schemas.PSMS)
+    return spark.read.parquet(target).select("psm_id", "peptide", "charge", "proteins", "spectrum_q")
+
+
+@query(
+    f"""SELECT label, psm_count, peptide_count, ion_count, protein_count FROM (SELECT concat('file', psm_id % 3) AS label, {_COUNTS} FROM psms WHERE peptide_q <= 0.01e0 AND (psm_id % 3 = 0 OR NOT ({_BAD})) GROUP BY 1)
+JOIN (SELECT label, count(DISTINCT trim(p)) AS protein_count FROM (SELECT concat('file', psm_id % 3) AS label, unnest(string_split(proteins, ';')) AS p FROM psms WHERE peptide_q <= 0.01e0 AND (psm_id % 3 = 0 OR NOT ({_BAD}))) GROUP BY 1) USING (label)"""
+)
+def summary_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    psms = fx.psms(spark, sf_dir)
+    parts = [psms.where(F.expr(f"psm_id % 3 = {i}")) for i in range(3)]
+    paths = [new_path(spark) + ".parquet", _tab_lines(parts[1], new_path(spark)), _tab_lines(parts[2], new_path(spark))]
+    parts[0].write.parquet(paths[0])
+    return summary.compare(tables.read_many(spark, [(p, f"file{i}") for i, p in enumerate(paths)]), FDR, "peptide")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS sage_fragment_idx FROM events")
+def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fx.table(spark, sf_dir, "events").select("event_id").repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return tables.with_row_position(spark, path)
+
+
+_BETTER = "status = 'unreviewed' AND dataset = 'D3' AND cfg = '1-URGENT' AND search_engine = 'F' AND id <> 4"
+
+
+@query(
+    f"""SELECT id, CASE WHEN id = 4 THEN 'reviewed' WHEN {_BETTER} THEN 'bested' ELSE status END AS status, CASE WHEN id = 4 THEN 1 ELSE 0 END AS regression,
+CASE WHEN id = 4 THEN 'checked' WHEN {_BETTER} THEN 'a better run' END AS message FROM runs UNION ALL SELECT max(id) + 1, 'unreviewed', 0, NULL FROM runs"""
+)
+def registry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = registry.Registry(spark, new_path(spark))
+    book.init()
+    registry.migrated(fx.runs(spark, sf_dir)).write.mode("append").parquet(f"{book.path}/runs")
+    book.review(4, 1, "checked")
+    new = book.record({"pipeline_path": "p", "dataset": "D3", "cfg": "1-URGENT", "search_engine": "F", "peptide_count": 10**9})
+    book.mark_bested(new, "a better run")
+    return book.runs().select("id", "status", "regression", "message")
+
+
+@query("SELECT psm_id FROM fragments GROUP BY psm_id HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.repeated(fx.fragments(spark, sf_dir), "psm_id")
+
+
+@query(_MERGED + "SELECT DISTINCT precursor_idx FROM merged WHERE precursor_idx % 10 = 3 ORDER BY precursor_idx LIMIT 20")
+def first_unsubmitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.first_of(mapping.unsubmitted(_merged(spark, sf_dir, fx.precursors(spark, sf_dir).where("precursor_idx % 10 <> 3"))), "precursor_idx")
+
+
+@query("SELECT precursor_idx, fragment_spectrum_start + i AS fragment_idx FROM precursors, range(20) t(i) WHERE (fragment_spectrum_start + i) NOT IN (SELECT fragment_idx FROM library WHERE fragment_idx % 13 <> 5)")
+def missing_library_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.missing_peaks(fx.precursors(spark, sf_dir), fx.library(spark, sf_dir).where("fragment_idx % 13 <> 5")).select("precursor_idx", "fragment_idx")
+
+
+@query("SELECT concat('S', s) AS title, cast(m AS double) AS max_mz FROM (SELECT cast(floor(fragment_idx / 20.0e0) AS bigint) AS s, max(intensity) AS m FROM library GROUP BY 1) ORDER BY max_mz DESC, title LIMIT 1")
+def largest_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    _spectra(spark, sf_dir).select(F.concat("spectrum", F.lit("END IONS"))).write.text(path)
+    return spectra.largest(spectra.max_fragment_mz(spectra.records(spark, path)))

@@ -7,6 +7,7 @@ import re
 import tomllib
 from collections.abc import Sequence
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,14 +92,40 @@ def discover(inputs: Sequence[str], pattern: str = "**/results.sage.tsv") -> tup
     return found, empty
 
 
+def _label_of(uri: str, path: str) -> bool:
+    """Whether a reader's file lies at the given path, a file or a folder."""
+    name = unquote(urlparse(uri).path)
+    own = urlparse(path).path if "://" in path else str(Path(path).resolve())
+    return name == own.rstrip("/") or name.startswith(own.rstrip("/") + "/")
+
+
 def read_many(spark: SparkSession, files: Sequence[tuple[str, str]], schema: T.StructType = schemas.PSMS) -> DataFrame:
-    """Search results of many files as one table, with their labels in ``label``."""
-    parts = [read_results(spark, path, schema).select(*[f.name for f in schema]).withColumn("label", F.lit(label)) for path, label in files]
-    if not parts:
-        return spark.createDataFrame([], T.StructType([*schema, T.StructField("label", T.StringType())]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """Search results of many files as one table, with their labels in ``label``.
+
+    Tables with tabs are one scan for each header that occurs among them, Parquet files one for each schema; labels join by file.
+    """
+    names = [f.name for f in schema]
+    out = spark.createDataFrame([], T.StructType([*schema, T.StructField("label", T.StringType())]))
+    for path, _ in files:
+        if "://" not in path and not Path(path).exists():
+            raise FileNotFoundError(path)
+    tabs, parts = [x for x in files if not x[0].endswith(".parquet")], []
+    if tabs:
+        lines = spark.read.text([p for p, _ in tabs]).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+        heads = lines.where("_block = 0 AND value <> ''").groupBy("_file").agg(F.min_by("value", "_place").alias("head")).collect()  # one row for each file
+        for head in sorted({r["head"] for r in heads}):
+            own = sorted(r["_file"] for r in heads if r["head"] == head)
+            parts.append((read_tsv(spark, own, schema, file_label=True), own))
+    by_schema: dict[str, list[str]] = {}
+    for path in (p for p, _ in files if p.endswith(".parquet")):
+        by_schema.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    for own in by_schema.values():
+        df = spark.read.parquet(*own)
+        parts.append((df.select(*names, F.col("_metadata.file_path").alias("_file")), df.inputFiles()))
+    for df, uris in parts:
+        pairs = [(re.sub("^file:/+", "file:/", u), label) for u in uris for path, label in files if _label_of(u, path)]
+        labels = spark.createDataFrame(pairs, "_file string, label string")  # one row for each file
+        out = out.unionByName(df.select(*[F.col(f.name).cast(f.dataType) for f in schema], "_file").join(F.broadcast(labels), "_file").select(*names, "label"))
     return out
 
 
