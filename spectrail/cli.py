@@ -89,18 +89,20 @@ def run_map(args: argparse.Namespace) -> int:
 
 
 def run_scores(args: argparse.Namespace) -> int:
-    """Writes each slice's plot data as Parquet."""
+    """Writes each slice's plot data as Parquet, with its axes and label as JSON, and tells how many rows were dropped."""
     spark = _spark()
     read = lambda path: spark.read.parquet(path)
+    method, params = tables.score_label(args.config)
     slices = distribution.compare_scores(read(args.library), read(args.mapping), read(args.mapped))
     if not slices:
         print("no finite score or no matched peak")
-    method, params = tables.score_label(args.config)
     for s in slices:
-        for name in ("cells", "scores", "by_charge"):
+        print("\n".join(s.notes), end="\n" if s.notes else "")
+        for name in ("cells", "contours", "scores", "by_charge"):
             df: DataFrame = getattr(s, name)
             df.write.mode("overwrite").parquet(f"{args.output}/{s.name}/{name}.parquet")
-        ranges = {"label": method, "params": params, "score": [s.score_axis.low, s.score_axis.high], "log_intensity": [s.log_axis.low, s.log_axis.high]}
+        label = distribution.plot_label(method, params, s.threshold)
+        ranges = {"label": label, "score": [s.score_axis.low, s.score_axis.high], "log_intensity": [s.log_axis.low, s.log_axis.high]}
         Path(args.output, s.name, "axes.json").write_text(json.dumps(ranges))
     return 0
 

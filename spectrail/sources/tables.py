@@ -115,7 +115,7 @@ def read_many(spark: SparkSession, files: Sequence[tuple[str, str]], schema: T.S
         heads = lines.where("_block = 0 AND value <> ''").groupBy("_file").agg(F.min_by("value", "_place").alias("head")).collect()  # one row for each file
         for head in sorted({r["head"] for r in heads}):
             own = sorted(r["_file"] for r in heads if r["head"] == head)
-            parts.append((read_tsv(spark, own, schema, file_label=True), own))
+            parts.append((read_tsv(spark, [unquote(u) for u in own], schema, file_label=True), own))
     by_schema: dict[str, list[str]] = {}
     for path in (p for p, _ in files if p.endswith(".parquet")):
         by_schema.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
@@ -179,11 +179,11 @@ def slurp(path: str | None) -> str | None:
 
 
 def score_label(path: str) -> tuple[str, str]:
-    """A TOML configuration's method and its parameters as k=v, for the labels of plots."""
+    """A TOML configuration's extraction method and, where that is "score", its parameters as k=v, for the labels of plots."""
     with open(path, "rb") as f:
         own = tomllib.load(f)["pseudomsms"]
     method = own["tofs_extraction_method"]
-    params = own.get(f"{method}_params") or own.get("tofs_extraction_method_params") or {}
+    params = own.get("tofs_extraction_params", {}) if method == "score" else {}
     return method, " | ".join(f"{k}={v}" for k, v in params.items())
 
 
