@@ -138,3 +138,82 @@ def test_stops_and_blank_lines_part_sentences(spark):
     texts = ["Released under\n\nthe MIT License.", "Released under. the MIT License", "Licensed under the Apache License, Version 2.0.\nThe License\n", "." * 100_000 + "-" * 100_000 + " license\x01", "It is released under the MIT License"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [(r.doc_id, r.rule) for r in licences.scan(docs).collect()] == [(2, "apache-line")]
+
+
+MPL_FILE = MPL2.replace("https", "http")
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+BSL = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+LGPL = GPL3.replace("program is", "library is").replace("software:", "software;").replace("GNU General Public License as", "GNU Lesser General Public\n * License as").replace("Foundation, either version 3", "Foundation; either\n * version 2.1")
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+APACHE_FILE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+"""
+MORE = {
+    "mpl2-notice": MPL_FILE,
+    "zlib-text": ZLIB,
+    "unlicense-text": UNLICENSE,
+    "boost-text": BSL,
+    "lgpl21-notice": LGPL,
+    "agpl3-notice": AGPL,
+    "gpl3-text": GPL_FILE,
+    "apache-text": APACHE_FILE,
+    "tag-Apache-2.0": "/* SPDX-License-Identifier: Apache-2.0 */\nint x;",
+    "tag-GPL-3.0-or-later": "# SPDX-License-Identifier: GPL-3.0-or-later",
+}
+
+
+def test_more_notices(spark):
+    docs = spark.createDataFrame(list(MORE.items()), "doc_id string, text string")
+    assert sorted((r.doc_id, r.rule) for r in licences.scan(docs).collect()) == sorted((k, k) for k in MORE)
+
+
+def test_sql_agrees_on_wrapped_notices(spark):
+    texts = [*MORE.values(), *WRAPPED.values(), *(t.replace("\n", "\r\n") for t in WRAPPED.values()), "a license ...\n\n" + MIT.replace("\n\n", "\n") + ";;\x01 Released under\nthe MIT License!? Released under the MIT License", "." * 999 + " license\x01"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = sorted((r.doc_id, str(r.rule), str(r.licence), " ".join(map(str, r.sentence_ids))) for r in licences.scan(docs).collect())
+    assert len(got) > 30 and got == sorted((a, str(b), str(c), d) for a, b, c, d in con.sql(licences.op6_sql()).fetchall())
