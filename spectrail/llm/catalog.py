@@ -11,6 +11,7 @@ from spectrail.llm.packing import op10_pack
 from spectrail.llm.quality import op7_quality
 from spectrail.llm.secrets import op5_secrets
 from spectrail.llm.substrings import op8_substrings
+from spectrail.llm.trie import op11_trie
 from spectrail.llm.vectors import op9_vectors
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_vectors": op9_vectors,
     "op10_pack": op10_pack,
+    "op11_trie": op11_trie,
 }
 ORACLES = {"op6_licences": op6_sql()}
