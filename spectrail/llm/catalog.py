@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from spectrail.llm.html import op1_main_text
 from spectrail.llm.language import op3_language
+from spectrail.llm.lexical import op13_search, op13_sql
 from spectrail.llm.licences import op6_licences, op6_sql
 from spectrail.llm.mixing import op2_mix
 from spectrail.llm.neardup import op4_neardup
 from spectrail.llm.packing import op10_pack
+from spectrail.llm.personal import op12_personal
 from spectrail.llm.quality import op7_quality
 from spectrail.llm.secrets import op5_secrets
 from spectrail.llm.substrings import op8_substrings
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_vectors": op9_vectors,
     "op10_pack": op10_pack,
     "op11_trie": op11_trie,
+    "op12_personal": op12_personal,
+    "op13_search": op13_search,
 }
-ORACLES = {"op6_licences": op6_sql()}
+ORACLES = {"op6_licences": op6_sql(), "op13_search": op13_sql()}
