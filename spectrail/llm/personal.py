@@ -413,6 +413,7 @@ def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: counts and a digest of the patterns' spans, and all spans as text."""
     found = find(read(spark, sf_dir, "documents").select("doc_id", "text"))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    every = F.concat(*[F.array_sort(F.filter(F.concat("base", "added"), lambda s, k=k: s["kind"] == k)) for k in KINDS])
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written("base"), 256).alias("base_sha256"), written(every).alias("spans"))
+    of_kind = lambda spans, kind: F.filter(spans, lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind("base", k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    every = F.concat(*[F.array_sort(of_kind(F.concat("base", "added"), k)) for k in KINDS])
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written(every).alias("spans"))
