@@ -135,7 +135,8 @@ class Encoder:
         # a word's end without the punctuation there, if a letter or a digit stands before it
         last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[ends - 1]
         lead = data[np.maximum(last - 1, 0)]
-        latin = (data[last] >= 0x80) & (lead >= 0xC3) & (lead <= 0xC5) & ((lead != 0xC3) | ((data[last] != 0x97) & (data[last] != 0xB7)))
+        # letters of two bytes, without the signs for times and division, and without the capital I with a dot, whose small form ends in a mark
+        latin = (data[last] >= 0x80) & (lead >= 0xC3) & (lead <= 0xC5) & ((lead != 0xC3) | ((data[last] != 0x97) & (data[last] != 0xB7))) & ((lead != 0xC4) | (data[last] != 0xB0))
         stem = np.where((last >= starts) & (_PLAIN[data[last]] | latin), last + 1, ends)
         tails = np.flatnonzero(stem < ends)
         entry = self._entries(data, np.concatenate([starts, stem[tails]]), np.concatenate([stem, ends[tails]]))

@@ -1,3 +1,4 @@
+import string
 import zlib
 from collections import Counter
 
@@ -60,5 +61,14 @@ def test_ids_are_the_tokenizers(spark):
         assert at <= 2048
 
 
+def test_letters_before_marks_are_the_tokenizers(spark):
+    """Every letter behind which punctuation is tokenized apart, with every mark of ASCII."""
+    texts = [" ".join(f"{a}{chr(c)}{m} {chr(c)}{m}{m}" for m in string.punctuation for a in ("", "Ab")) for c in (*range(0x21, 0x250), *range(0x370, 0x400), 0x1E9E, 0x212A, 0x2126)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.token_pieces(docs, capacity=10**6, with_ids=True).collect()}
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert [i for i, t in enumerate(texts) if list(got[i]) != encoder.encode(t, add_special_tokens=False).ids + [0]] == []
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
