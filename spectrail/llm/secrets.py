@@ -32,7 +32,6 @@ FORMS = (
     ("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     ("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("google", r"AIza[0-9A-Za-z_-]{35}"),
-    ("jwt", r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{4,}"),
     ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"),
 )
 # A small dictionary, in alphabetic order.
@@ -52,17 +51,23 @@ WORDS = (
 ).split()
 _RUN = r"[0-9A-Za-z+/_=-]"
 _FORM = re.compile("|".join(f"(?P<f{i}>(?<![0-9A-Za-z_]){p})" for i, (_, p) in enumerate(FORMS)))
-_ASSIGNED = re.compile(r"(?i)(?P<name>[\w.-]{0,40}(?:" + "|".join(NAMES) + r")[\w.-]{0,20})[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*[\"']?(?P<value>[^\s\"'<>,;]{8,})")
-_LONG = re.compile(rf"(?<!{_RUN})(?=[^\s]*\d){_RUN}{{20,}}")
-_WIDE = re.compile(r"(?<!\S)\S{20,}")
+_NAME = re.compile("|".join(map(re.escape, NAMES)))
+_NAME_END = re.compile(r"[\w.-]*+")
+_SIGN = re.compile(r"[\"']?+[ \t]*+(?:=>|:=|[:=])[ \t]*+")
+_QUOTED = {q: re.compile(rf"{q}([^{q}\n]*+){q}") for q in "\"'"}
+_VALUE = re.compile(r"\S+")
+_LONG = re.compile(_RUN + "{20,}+")
+_WIDE = re.compile(r"(?<!\S)\S{20,}+")
+_JWT = re.compile(r"(?<![0-9A-Za-z_])eyJ[0-9A-Za-z_-]{8,}+")
+_PART = re.compile(r"\.([0-9A-Za-z_-]*+)")
 _KEY_START = "-----BEGIN "
-_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_", "rk_", "AIza", "eyJ", _KEY_START)
+_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_", "rk_", "AIza", _KEY_START)
 _NEAR = re.compile(r"\S+")
-#: What a stretch takes behind its end: the run that it cuts, and, where it ends before a name's sign or value, those.
-_REST = re.compile(r"\S*[ \t]*\S*[ \t]*\S*")
 #: Small letters in places that stay: A-Z and the Kelvin sign, all that becomes one of a-z.
 _LOWER = str.maketrans(string.ascii_uppercase + "\u212a", string.ascii_lowercase + "k")
 LABEL = "[secret]"
+#: Characters of an assigned value at least, and of a value's surroundings that the forest may look at.
+LEAST_VALUE, BEFORE, AFTER = 8, 60, 30
 FEATURES = 24
 
 
@@ -75,51 +80,88 @@ def suspect(text: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _around(text: str, parts: Sequence[str], before: int, after: int) -> list[tuple[int, int]]:
-    """Joined stretches of a text around each place of each part; none ends inside a run without white space.
-
-    A private key may go on to the text's end, and so does its stretch.
-    """
-    places = []
+def _places(text: str, parts: Sequence[str]) -> list[int]:
+    """Where one of the parts begins, in order."""
+    out = []
     for part in parts:
         at = text.find(part)
         while at >= 0:
-            places.append((max(0, at - before), len(text) if part == _KEY_START else min(len(text), at + after)))
-            at = -1 if part == _KEY_START else text.find(part, at + 1)
-    joined: list[tuple[int, int]] = []
-    for lo, hi in sorted(places):
-        if joined and hi <= joined[-1][1]:
+            out.append(at)
+            at = text.find(part, at + 1)
+    return sorted(out)
+
+
+def _forms(text: str) -> Iterator[tuple[int, int, str]]:
+    """Values of known forms; each is looked for where its first characters stand, and behind what was found before."""
+    end = 0
+    for at in _places(text, _STARTS):
+        m = _FORM.match(text, at) if at >= end else None
+        if m:
+            end = m.end()
+            yield at, end, FORMS[int(m.lastgroup[1:])][0]
+
+
+def _jwts(text: str) -> Iterator[tuple[int, int, str]]:
+    """Three parts with dots between; each part is read once, whether or not it belongs to one."""
+    at = text.find("eyJ")
+    while at >= 0:
+        m = _JWT.match(text, at)
+        if not m:
+            at = text.find("eyJ", at + 1)
             continue
-        hi = _REST.match(text, hi).end()
-        if joined and lo <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], hi)
-        else:
-            joined.append((lo, hi))
-    return joined
+        second = _PART.match(text, m.end())
+        third = _PART.match(text, second.end()) if second and len(second[1]) >= 8 else None
+        if third and len(third[1]) >= 4:
+            yield at, third.end(), "jwt"
+        at = text.find("eyJ", third.end() if third and len(third[1]) >= 4 else m.end())
+
+
+def _assigned(text: str, low: str) -> Iterator[tuple[int, int, str]]:
+    """Values behind a name that holds a telling part, however long either is.
+
+    A value in quotes goes on to the same quote on its line; any other to white space, without the punctuation at its end.
+    """
+    m = _NAME.search(low)
+    while m:
+        end = _NAME_END.match(text, m.end()).end()
+        sign = _SIGN.match(text, end)
+        if sign:
+            start, first = sign.end(), text[sign.end() : sign.end() + 1]
+            quoted = _QUOTED[first].match(text, start) if first in _QUOTED else None
+            if quoted:
+                start, stop = quoted.span(1)
+            else:
+                start += first in _QUOTED
+                bare = _VALUE.match(text, start)
+                stop = start + len(bare[0].rstrip(",;.)]}>\"'")) if bare else start
+            if stop - start >= LEAST_VALUE:
+                yield start, stop, "assigned"
+                end = stop
+        m = _NAME.search(low, end)
+
+
+def _long_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Runs of 20 characters of keys or more, with a digit in them or behind them before the next white space."""
+    for wide in _WIDE.finditer(text):
+        last = max(wide[0].rfind(d) for d in string.digits) + wide.start()
+        for m in _LONG.finditer(text, *wide.span()):
+            if last >= m.start() and last >= wide.start():
+                yield *m.span(), "long-run"
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what may be a secret, without overlaps: known forms first, then assigned values, then long runs.
 
-    Patterns only run where a plain search has found what they need.
+    The time is in proportion to the text's length.
     """
-    low = text.translate(_LOWER)
-    spans = [(m.start(), m.end()) for m in _WIDE.finditer(text)]
-    searches = (
-        (_FORM, 0, _around(text, _STARTS, 1, 600), lambda m: FORMS[int(m.lastgroup[1:])][0]),
-        (_ASSIGNED, "value", _around(low, NAMES, 45, 480), lambda m: "assigned"),
-        (_LONG, 0, spans, lambda m: "long-run"),
-    )
     found: list[tuple[int, int, str]] = []
     ends: list[int] = []  # of what is found so far, which is kept in order
-    for pattern, group, regions, kind_of in searches:
+    for search in (_forms(text), _jwts(text), _assigned(text, text.translate(_LOWER)), _long_runs(text)):
         new = []
-        for lo, hi in regions:
-            for m in pattern.finditer(text, lo, hi):
-                start, end = m.span(group)
-                at = bisect_right(ends, start)
-                if at == len(found) or found[at][0] >= end:
-                    new.append((start, end, kind_of(m)))
+        for start, end, kind in search:
+            at = bisect_right(ends, start)
+            if at == len(found) or found[at][0] >= end:
+                new.append((start, end, kind))
         found = sorted(found + new)
         ends = [x[1] for x in found]
     return found
@@ -129,7 +171,8 @@ def _kind(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-_DICTIONARY = {w for w in WORDS if len(w) >= 4}
+#: At each place the longest word of the dictionary there, which holds all shorter ones there.
+_WORDS_AT = re.compile("(?=(" + "|".join(sorted((w for w in WORDS if len(w) >= 4), key=len, reverse=True)) + "))")
 _COMMON = {a + b for w in WORDS for a, b in zip(w, w[1:])}
 
 
@@ -142,11 +185,10 @@ def features(value: str, kind: str, before: str, after: str, path: str) -> list[
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / n
     letters = [(a, b) for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
     usual = sum(a + b in _COMMON for a, b in letters) / max(1, len(letters))
-    covered = set()
-    for size in range(4, 13):
-        for i in range(max(0, len(low) - size + 1)):
-            if low[i : i + size] in _DICTIONARY:
-                covered |= set(range(i, i + size))
+    covered, reach = 0, 0
+    for m in _WORDS_AT.finditer(low):
+        covered += max(0, m.end(1) - max(reach, m.start()))
+        reach = max(reach, m.end(1))
     words_before = [w.lower() for w in _NEAR.findall(before)][-4:]
     near, behind = " ".join(words_before), after.lower()[:24]
     last = words_before[-1] if words_before else ""
@@ -154,9 +196,9 @@ def features(value: str, kind: str, before: str, after: str, path: str) -> list[
     harmless = lambda s: float(any(x in s for x in HARMLESS))
     return [
         math.log2(n), -sum(c / n * math.log2(c / n) for c in counts), len(counts) / n, share(0), share(1), share(2), share(3), changes, usual, len(letters) / n,
-        len(covered) / n, float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), float(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) is not None),
+        covered / n, float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), float(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) is not None),
         float(kind not in ("assigned", "long-run")), float(kind == "assigned"), names(near), harmless(near), names(last), float(before.rstrip("\"' ")[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")),
-        harmless(behind), harmless(low), harmless(path.lower()), float(max(counts, default=0) > 0.4 * n or "/" in value and covered != set()),
+        harmless(behind), harmless(low), harmless(path.lower()), float(max(counts, default=0) > 0.4 * n or "/" in value and covered > 0),
     ]
 
 
@@ -235,19 +277,21 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         name = r.choice(["token", "api_key", "API_KEY", "secret", "password", "db_password", "auth_token", "access_key", "client_secret", "SECRET_KEY", "bearer"])
         assign = f"{prose()} {name}{r.choice([' = ', '=', ': ', ':'])}{r.choice(['', chr(34), chr(39)])}"
         plain = f"{prose()} {r.choice(['', '', '(', 'and '])}"
-        kind = r.randrange(26)
+        kind = r.randrange(27)
         if kind < 5:
             out.append((chars(hexes, r.choice([24, 32, 32, 40, 40, 48, 64])), "assigned", assign, after, path, 1))
         elif kind < 7:
             out.append((chars(both + r.choice(["", "+/", "_-"]), r.randint(16, 64)), "assigned", assign, after, path, 1))
         elif kind == 7:
-            out.append((chars(both + "!@#$%^&*", r.randint(8, 16)), "assigned", f"{prose()} {r.choice(['password', 'passwd', 'pwd'])}={r.choice(['', chr(34)])}", after, path, 1))
+            out.append((chars(both + r.choice(["!@#$%^&*", "!#$%,;.:<>?"]), r.randint(8, 20)), "assigned", f"{prose()} {r.choice(['password', 'passwd', 'pwd'])}={r.choice(['', chr(34)])}", after, path, 1))
         elif kind < 10:
             value, form = r.choice([("AKIA" + chars(upper, 16), "aws"), ("ghp_" + chars(both, 36), "github"), ("xoxb-" + chars(both, 24), "slack"), ("sk_live_" + chars(both, 24), "stripe"), ("AIza" + chars(both, 35), "google"), ("eyJ" + chars(both, 20) + "." + chars(both, 40) + "." + chars(both, 30), "jwt"), ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(chars(both + "+/", 64) for _ in range(r.randint(1, 25))) + "\n-----END RSA PRIVATE KEY-----", "private-key")])
             out.append((value, form, r.choice([plain, assign]), after, path, 1))
         elif kind >= 20:
             bare = lambda word: r.choice([f"{prose()} | {word} | ", f"{prose()}\t{word}\t", f"{prose()}\n{word}\n", f"{prose()} {word}:\n\n", f"{prose()} {word} ", f"{prose()} --{word} ", f"the {word} is ", f"{prose()} {word} {r.choice(WORDS)} "])
-            if kind == 24:
+            if kind == 26:
+                out.append((r.choice([" ", ", ", " - "]).join(r.choice(WORDS) for _ in range(r.randint(2, 9))), "assigned", assign.rstrip("\"'") + "\"", "\"" + after, path, 0))
+            elif kind == 24:
                 out.append((chars(hexes, r.choice([32, 40, 64])), "long-run", bare(r.choice(["commit", "sha256", "sha1", "checksum", "etag", "revision", "hash", "digest"])), after, path, 0))
             elif kind == 25:
                 value = r.choice(["_", "-", "", "/"]).join(r.choice(WORDS) for _ in range(r.randint(4, 7))) + str(r.randrange(100))
@@ -271,7 +315,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         elif kind == 16:
             out.append((chars(string.digits, r.choice([13, 16, 20, 24])), "long-run", f"{prose()} {r.choice(['order', 'card', 'isbn', 'phone', 'number'])} ", after, path, 0))
         elif kind == 17:
-            out.append((r.choice(["get_token(request)", "os.environ[TOKEN]", "settings.SECRET_KEY", "${API_TOKEN}", "self.password", "config.get(key)"]), "assigned", assign, after, path, 0))
+            out.append((r.choice(["get_token(request)", "os.environ[TOKEN]", "settings.SECRET_KEY", "${API_TOKEN}", "self.password", "config.get(key)", "request.headers,other", "a,b,c,d,e,f", "string;number"]), "assigned", assign, after, path, 0))
         else:
             value = chars("aeiou", 1) + "".join(r.choice(WORDS)[:4] for _ in range(r.randint(5, 8))) + r.choice(["", chars(string.digits, 1)])
             out.append((value, "long-run", plain, after, path, 0))
@@ -290,7 +334,7 @@ def judged(text: str, path: str, forest: Forest, least: float) -> list[tuple[int
     found = candidates(text)
     if not found:
         return []
-    x = np.array([features(text[a:b], k, text[max(0, a - 60) : a], text[b : b + 30], path) for a, b, k in found])
+    x = np.array([features(text[a:b], k, text[max(0, a - BEFORE) : a], text[b : b + AFTER], path) for a, b, k in found])
     return [(a, b, k, float(s), bool(s >= least)) for (a, b, k), s in zip(found, forest.scores(x), strict=True)]
 
 
