@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import digits_within, packed_digits, scan_number
 from spectrail.operators.distribution import quantiles
+from spectrail.operators.nearest import nearest_sorted
 from spectrail.sources.shared import saved
 
 
@@ -64,18 +65,35 @@ def first_of(rows: DataFrame, key: str, n: int = 20) -> DataFrame:
     return rows.select(key).orderBy(key).limit(n)
 
 
-def validate(psms: DataFrame, precursors: DataFrame, merged: DataFrame, groups: DataFrame) -> None:
-    """Raises IntegrityError for repeated keys, unsubmitted precursors and foreign charges, with the first of them."""
-    checks = (
-        ("psm_id that repeats", repeated(psms, "psm_id"), "psm_id"),
-        ("precursor_idx that repeats", repeated(precursors, "precursor_idx"), "precursor_idx"),
-        ("precursor without submitted peaks", unsubmitted(merged), "precursor_idx"),
-        ("precursor with charges that were not submitted", foreign_charges(groups), "precursor_idx"),
-    )
-    for what, rows, key in checks:
-        first = [r[0] for r in first_of(rows, key).collect()]
-        if first:
-            raise IntegrityError(f"{rows.count()} x {what}; the first: {first}")
+#: What ``violations`` looks for, by number.
+CHECKS = ("psm_id that repeats", "precursor_idx that repeats", "precursor without submitted peaks", "precursor with charges that were not submitted", "precursor whose slice reaches beyond the library")
+
+
+def violations(psms: DataFrame, precursors: DataFrame, merged: DataFrame, groups: DataFrame, library: DataFrame | None = None, n: int = 20) -> DataFrame:
+    """(check, total, key): for each check of ``CHECKS`` that fails, how many keys do, and the ``n`` least of them, a row each.
+
+    One plan for all checks: the offenders are united, counted, and cut to the least keys before they are dealt out. The
+    library is only looked at where it is given.
+    """
+    parts = [repeated(psms, "psm_id"), repeated(precursors, "precursor_idx"), unsubmitted(merged), foreign_charges(groups.where("submitted_charges IS NOT NULL")).select("precursor_idx")]
+    if library is not None:
+        parts.append(missing_peaks(precursors, library).select("precursor_idx").distinct())
+    rows = None
+    for i, part in enumerate(parts):
+        own = part.select(F.lit(i).alias("check"), F.col(part.columns[0]).cast("long").alias("key"))
+        rows = own if rows is None else rows.unionByName(own)
+    counts = rows.groupBy(F.col("check").alias("_check")).agg(F.count(F.lit(1)).alias("total"))  # one row for each check
+    least = rows.withColumn("_n", F.row_number().over(Window.partitionBy("check").orderBy("key"))).where(F.col("_n") <= n)
+    return least.join(F.broadcast(counts), F.col("check") == F.col("_check")).select("check", "total", "key")
+
+
+def validate(psms: DataFrame, precursors: DataFrame, merged: DataFrame, groups: DataFrame, library: DataFrame | None = None) -> None:
+    """Raises IntegrityError for the first check that fails, with the number of offenders and the first of them."""
+    found = violations(psms, precursors, merged, groups, library).collect()  # 20 rows for each check at most
+    if found:
+        first = min(r["check"] for r in found)
+        own = sorted((r for r in found if r["check"] == first), key=lambda r: (r["key"] is not None, r["key"]))
+        raise IntegrityError(f"{own[0]['total']} x {CHECKS[first]}; the first: {[r['key'] for r in own]}")
 
 
 def slice_peaks(precursors: DataFrame, library: DataFrame, compat_stall: bool = False) -> DataFrame:
@@ -99,24 +117,34 @@ def missing_peaks(precursors: DataFrame, library: DataFrame) -> DataFrame:
     return wanted.join(library, "fragment_idx", "left_anti")
 
 
-def nearest(merged: DataFrame, precursors: DataFrame, library: DataFrame, tolerance: float = 0.001, compat_stall: bool = False) -> DataFrame:
+#: The widest tolerance for which peaks are met by buckets.
+NARROW = 0.05
+
+
+def nearest(merged: DataFrame, precursors: DataFrame, library: DataFrame, tolerance: float = 0.001, compat_stall: bool = False, sort: bool | None = None) -> DataFrame:
     """(precursor_idx, sage_fragment_idx, psm_id, pmsms_fragment_idx, mz_delta) of fragments with a peak within the tolerance.
 
-    The nearest peak counts, of two equally near ones that with the lower m/z, then the first. What is beyond the tolerance
-    is dropped anyway, so buckets of twice its width make this an equi-join: a peak lies in the fragment's bucket or in one
-    beside it. Distances are compared in single precision, like the m/z themselves.
+    The nearest peak counts, of two equally near ones that with the lower m/z, then the first. Distances are compared in
+    single precision, like the m/z themselves. Two ways with one result: with a narrow tolerance, buckets of twice its width
+    make this an equi-join, since a peak lies in the fragment's bucket or in one beside it; a wide one would list too many
+    pairs, so both sides are sorted (``nearest_sorted``), at the price of writing them once. ``sort`` asks for either way.
     """
-    peaks = slice_peaks(precursors, library, compat_stall).withColumnRenamed("mz", "lib_mz")
+    own = precursors.join(merged.select("precursor_idx").distinct(), "precursor_idx", "left_semi")  # slices that no fragment needs stay unread
+    peaks = slice_peaks(own, library, compat_stall).withColumnRenamed("mz", "lib_mz")
     queries = merged.where(F.col("submitted_charges").isNotNull()).select("precursor_idx", "sage_fragment_idx", "psm_id", F.col("fragment_mz_experimental").cast("float").alias("exp_mz"))
     delta = F.col("lib_mz") - F.col("exp_mz")
+    limit = F.lit(tolerance).cast("float")
+    if tolerance > NARROW if sort is None else sort:
+        found = nearest_sorted(queries, peaks, "precursor_idx", "exp_mz", "lib_mz", "fragment_idx").where(F.col("near.distance") <= limit)
+        return found.select("precursor_idx", "sage_fragment_idx", "psm_id", F.col("near.place").alias("pmsms_fragment_idx"), F.col("near.delta").alias("mz_delta"))
     if tolerance < 0:
         joined = queries.join(peaks, "precursor_idx").where(F.lit(False))
     elif tolerance == 0:
         joined = queries.withColumn("same_mz", F.col("exp_mz")).join(peaks.withColumn("same_mz", F.col("lib_mz")), ["precursor_idx", "same_mz"])
     else:
         bucket = lambda c: F.floor(F.col(c).cast("double") / F.lit(2.0 * tolerance))
-        own = queries.withColumn("bucket", F.explode(F.array(bucket("exp_mz") - 1, bucket("exp_mz"), bucket("exp_mz") + 1)))
-        joined = own.join(peaks.withColumn("bucket", bucket("lib_mz")), ["precursor_idx", "bucket"]).where(F.abs(delta) <= F.lit(tolerance).cast("float"))
+        near = queries.withColumn("bucket", F.explode(F.array(bucket("exp_mz") - 1, bucket("exp_mz"), bucket("exp_mz") + 1)))
+        joined = near.join(peaks.withColumn("bucket", bucket("lib_mz")), ["precursor_idx", "bucket"]).where(F.abs(delta) <= limit)
     best = F.min(F.struct(F.abs(delta).alias("distance"), "lib_mz", "fragment_idx", delta.alias("mz_delta"))).alias("best")
     found = joined.groupBy("precursor_idx", "sage_fragment_idx", "psm_id").agg(best)
     return found.select("precursor_idx", "sage_fragment_idx", "psm_id", F.col("best.fragment_idx").alias("pmsms_fragment_idx"), F.col("best.mz_delta").alias("mz_delta"))
@@ -175,10 +203,7 @@ def map_fragments(psms: DataFrame, fragments: DataFrame, precursors: DataFrame,
     merged = saved(resolve(fragments, psms, precursors))
     groups = precursor_groups(merged)
     if check:
-        validate(psms, precursors, merged, groups)
-        gaps = missing_peaks(precursors, library).limit(1).collect()
-        if gaps:
-            raise IntegrityError(f"a slice reaches beyond the library: {gaps[0].asDict()}")
+        validate(psms, precursors, merged, groups, library)
     hits = saved(nearest(merged, precursors, library, tolerance, compat_stall))
     mapped = mapped_counts(hits, groups)
     return MappingTables(mapping_rows(hits, mapped), mapped, delta_quantiles(hits))

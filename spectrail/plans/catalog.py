@@ -140,6 +140,20 @@ def nearest_fragment_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)
 
 
+def _wide_sql(tolerance: str) -> str:
+    return _MERGED + f"SELECT precursor_idx, sage_fragment_idx, psm_id, pmsms_fragment_idx, mz_delta FROM near WHERE n = 1 AND abs(mz_delta) <= cast({tolerance} AS float)"
+
+
+@query(_wide_sql("10"))
+def nearest_wide_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.nearest(_merged(spark, sf_dir), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), 10.0)
+
+
+@query(_wide_sql("0.001"))
+def nearest_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.nearest(_merged(spark, sf_dir), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), TOLERANCE, sort=True)
+
+
 @query(_MERGED + "SELECT * FROM mapped")
 def mapped_precursor_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged, hits = _kept(spark, sf_dir)
@@ -423,6 +437,27 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.repeated(fx.fragments(spark, sf_dir), "psm_id")
 
 
+@query(
+    _MERGED
+    + """, odd AS (SELECT precursor_idx, CASE WHEN precursor_idx % 7 = 0 THEN 2 ELSE 234 END AS charges, fragment_spectrum_start AS s, fragment_event_cnt AS c FROM precursors WHERE precursor_idx % 10 <> 3
+  UNION ALL SELECT precursor_idx, 234, fragment_spectrum_start, fragment_event_cnt FROM precursors WHERE precursor_idx % 50 = 1),
+rows AS (SELECT 1 AS "check", precursor_idx AS key FROM odd GROUP BY precursor_idx HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 2, precursor_idx FROM merged WHERE precursor_idx % 10 = 3
+  UNION ALL SELECT 3, precursor_idx FROM groups JOIN (SELECT precursor_idx, min(charges) AS own FROM odd GROUP BY precursor_idx) USING (precursor_idx)
+    WHERE precursor_idx % 10 <> 3 AND precursor_idx % 50 <> 1 AND len(list_filter(string_split(cast(detected_charges AS varchar), ''), lambda d: NOT contains(cast(own AS varchar), d))) > 0
+  UNION ALL SELECT DISTINCT 4, precursor_idx FROM odd, range(20) t(i) WHERE (s + i) NOT IN (SELECT fragment_idx FROM library WHERE fragment_idx % 13 <> 5)),
+ranked AS (SELECT "check", count(*) OVER (PARTITION BY "check") AS total, key, row_number() OVER (PARTITION BY "check" ORDER BY key) AS n FROM rows)
+SELECT "check", total, key FROM ranked WHERE n <= 20"""
+)
+def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = fx.precursors(spark, sf_dir)
+    odd = good.where("precursor_idx % 10 <> 3").withColumn("charges", F.expr("cast(CASE WHEN precursor_idx % 7 = 0 THEN 2 ELSE 234 END AS bigint)"))
+    odd = odd.unionByName(good.where("precursor_idx % 50 = 1"))
+    merged = _merged(spark, sf_dir, odd.where("precursor_idx % 50 <> 1"))
+    known = merged.where("precursor_idx % 50 <> 1")
+    return mapping.violations(fx.psms(spark, sf_dir), odd, known, mapping.precursor_groups(known), fx.library(spark, sf_dir).where("fragment_idx % 13 <> 5"))
+
+
 @query(_MERGED + "SELECT DISTINCT precursor_idx FROM merged WHERE precursor_idx % 10 = 3 ORDER BY precursor_idx LIMIT 20")
 def first_unsubmitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.first_of(mapping.unsubmitted(_merged(spark, sf_dir, fx.precursors(spark, sf_dir).where("precursor_idx % 10 <> 3"))), "precursor_idx")

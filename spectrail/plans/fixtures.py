@@ -30,6 +30,7 @@ FRAGMENTS = (
     "o_orderkey AS psm_id",
     "cast(200.0e0 + 7 * ((event_id * 7) % 20) + 0.1e0 * (cast(floor(fragment_spectrum_start / 20.0e0) AS bigint) % 50) + ((event_id % 9) - 4) * 0.0003e0 AS float) AS fragment_mz_experimental",
 )
+OWNER = "1 + 4 * (event_id % greatest(cast(floor(psms / 4.0e0) AS bigint), 1))"
 RUNS = (
     "o_orderkey AS id",
     "'p' AS pipeline_path",
@@ -61,12 +62,12 @@ def precursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is a fragment of one of all PSMs."""
+    """Every event is a fragment; every fourth PSM, over all of them, has fragments, most of them several."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     size = orders.agg(F.count(F.lit(1)).alias("psms"))  # one row
     starts = precursors(spark, sf_dir).select("precursor_idx", "fragment_spectrum_start")
     events = table(spark, sf_dir, "events").select("event_id")
-    owned = events.crossJoin(size).withColumn("own", F.expr("event_id % psms"))
+    owned = events.crossJoin(size).withColumn("own", F.expr(OWNER))
     joined = owned.join(orders, F.expr("own = o_orderkey")).join(starts, F.expr("o_custkey = precursor_idx"))
     return joined.selectExpr(*FRAGMENTS)
 
@@ -84,6 +85,6 @@ SQL = f"""
 psms AS (SELECT {', '.join(PSMS)} FROM orders),
 library AS (SELECT {', '.join(LIBRARY)} FROM part),
 precursors AS (SELECT {', '.join(PRECURSORS)} FROM customer, (SELECT cast(floor(count(*) / 20.0e0) AS bigint) AS slices FROM part)),
-fragments AS (SELECT {', '.join(FRAGMENTS)} FROM events JOIN orders ON event_id % (SELECT count(*) FROM orders) = o_orderkey JOIN precursors ON o_custkey = precursor_idx),
+fragments AS (SELECT {', '.join(FRAGMENTS)} FROM (SELECT event_id, {OWNER} AS own FROM events, (SELECT count(*) AS psms FROM orders)) JOIN orders ON own = o_orderkey JOIN precursors ON o_custkey = precursor_idx),
 runs AS (SELECT {', '.join(RUNS)} FROM orders)
 """

@@ -105,3 +105,73 @@ def test_offsets_run_across_buckets(spark, monkeypatch):
     for row in mapping.mapped_counts(hits, groups).orderBy("precursor_idx").collect():
         assert (row.mapped_idx, row.mapped_cnt) == (at, wanted[row.precursor_idx])
         at += row.mapped_cnt
+
+
+def _many(spark, seed, hot=False):
+    """Several precursors, most rows of one where ``hot``; equal library peaks, ties and peaks on both sides."""
+    r = random.Random(seed)
+    library, precursors, exp = [], [], {}
+    for p in range(1 if hot else 12):
+        n = 4000 if hot else r.randrange(1, 40)
+        own = sorted(float(np.float32(r.uniform(300, 900))) for _ in range(n))
+        own = sorted(own + r.sample(own, n // 4))
+        precursors.append((p, len(library), len(own), 2))
+        library += own
+        exp[p] = [float(np.float32(r.choice(own) + r.choice([0, 0.0004, -3, 8, 200, -700]))) for _ in range(3000 if hot else 60)]
+    psms = [(p, "p", 2, "", f"precursor_idx={p} charge=2", 0.0, 0.0, 0.0) for p in exp]
+    fragments = [(i, p, m) for i, (p, m) in enumerate((p, m) for p, ms in exp.items() for m in ms)]
+    lib = [(i, m, 1.0, 5) for i, m in enumerate(library)]
+    return [spark.createDataFrame(rows, s) for rows, s in ((psms, schemas.PSMS), (fragments, schemas.FRAGMENTS), (precursors, schemas.PRECURSORS), (lib, schemas.LIBRARY))], fragments, precursors, library
+
+
+@pytest.mark.parametrize("tolerance", [0.001, 10.0, 1e9])
+@pytest.mark.parametrize("hot", [False, True])
+def test_sorted_search_equals_brute_force(spark, tolerance, hot):
+    (psms, fragments, precursors, library), rows, slices, lib = _many(spark, 4, hot)
+    merged = mapping.resolve(fragments, psms, precursors)
+    found = mapping.nearest(merged, precursors, library, tolerance, sort=True)
+    expected = {}
+    for p, start, n, _ in slices:
+        own = np.array(lib[start : start + n], np.float32)
+        for i, q, m in rows:
+            if q == p:
+                d = np.abs(own - np.float32(m))
+                k = min(range(n), key=lambda j: (d[j], own[j], j)) if not hot else int(np.lexsort((own, d))[0])
+                if d[k] <= np.float32(tolerance):
+                    expected[i] = start + k
+    assert {r.sage_fragment_idx: r.pmsms_fragment_idx for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan.split("FileScan")[0]
+
+
+def test_a_hot_group_lies_in_several_ranges(spark):
+    from spectrail.operators.nearest import nearest_sorted
+
+    rng = np.random.default_rng(1)
+    q = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(rng.normal(size=2000))] + [(1, -1, 5.0), (2, -2, None), (2, -3, float("nan"))], "g int, i int, x double")
+    values = np.sort(np.round(rng.normal(size=500), 2))
+    c = spark.createDataFrame([(0, float(v), k) for k, v in enumerate(values)] + [(0, None, 900), (0, float("nan"), 901), (2, 1.0, 902)], "g int, v double, k int")
+    got = {r.i: r.near for r in nearest_sorted(q, c, "g", "x", "v", "k", rows_per_range=50).collect()}
+    assert len(got) == 2003 and got[-1] is None and got[-2] is None and got[-3] is None
+    for r in q.where("g = 0").collect():
+        d = np.abs(values - r.x)
+        assert got[r.i].place == min(range(500), key=lambda j: (d[j], values[j], j))
+
+
+def test_wide_tolerance_is_sorted_by_itself(spark):
+    (psms, fragments, precursors, library), *_ = _many(spark, 5)
+    merged = mapping.resolve(fragments, psms, precursors)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(mapping.nearest(merged, precursors, library, 1.0)) == rows(mapping.nearest(merged, precursors, library, 1.0, sort=False))
+    assert mapping.nearest(merged, precursors, library, -1.0, sort=True).count() == 0
+
+
+def test_repeated_keys_raise(spark):
+    psms, fragments, precursors, library = _tables(spark, [200.0], [200.0])
+    merged = mapping.resolve(fragments, psms, precursors)
+    groups = mapping.precursor_groups(merged)
+    mapping.validate(psms, precursors, merged, groups, library)
+    with pytest.raises(mapping.IntegrityError, match="1 x psm_id that repeats; the first: .1."):
+        mapping.validate(psms.union(psms), precursors, merged, groups)
+    with pytest.raises(mapping.IntegrityError, match="1 x precursor_idx that repeats; the first: .10."):
+        mapping.validate(psms, precursors.union(precursors), merged, groups)
