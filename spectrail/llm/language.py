@@ -21,6 +21,12 @@ from spectrail.llm.words import slices
 
 WINDOW, STRIDE, EMBED, FILTERS = 256, 4, 8, 16
 UNKNOWN = "und"
+#: Bytes as kinds for pairs: a-z in either case, bytes beyond ASCII, and the rest, which separates.
+_KIND = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else b - 128 + 27 if b > 127 else 0 for b in range(256)], np.int64)
+_KINDS = 27 + 128
+#: Share of labelled windows that each language's cutoff of familiarity keeps at least, of those it is chosen on, room below it in bits,
+#: and how many such windows it takes; a language with fewer has no cutoff.
+KEPT, ROOM, LEAST_WINDOWS = 0.995, 0.5, 100
 
 
 @dataclass
@@ -116,6 +122,58 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, row, length
 
 
+@dataclass
+class Pairs:
+    """How usual pairs of letters are in each language: log2 of their smoothed shares, and a cutoff by the number of pairs.
+
+    A softmax over languages says which one fits best, not whether any does; a text's mean over its pairs does.
+    The cutoff is ``level - slope / sqrt(pairs)`` bits.
+    """
+
+    logs: np.ndarray  # (languages, kinds * kinds)
+    level: np.ndarray
+    slope: np.ndarray
+
+    @classmethod
+    def of(cls, windows: np.ndarray, labels: np.ndarray, classes: int) -> Pairs:
+        """From half of the windows, with the cutoffs from the other half."""
+        half = np.arange(len(windows)) % 2 == 0
+        logs = []
+        for c in range(classes):
+            code, good = _pairs(windows[half & (labels == c)])
+            counts = np.bincount(code[good], minlength=_KINDS**2).reshape(_KINDS, _KINDS) + 0.01
+            logs.append(np.log2(counts / counts.sum(axis=1, keepdims=True)).reshape(-1))
+        found = cls(np.array(logs, np.float32), np.zeros(classes), np.zeros(classes))
+        for c in range(classes):
+            mine = windows[~half & (labels == c)]
+            total, n = found.sums(mine, np.full(len(mine), c))
+            mean, root = total[n > 0] / n[n > 0], np.sqrt(n[n > 0])
+            if len(mean) < LEAST_WINDOWS:
+                found.level[c] = -np.inf
+                continue
+            # long windows set the level, and the slope takes in the short ones
+            found.level[c] = np.quantile(mean[n[n > 0] >= np.median(n[n > 0])], 1 - KEPT) - ROOM
+            found.slope[c] = max(0.0, np.quantile((found.level[c] - mean) * root, KEPT)) + 2
+        return found
+
+    def sums(self, windows: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window, the sum over its pairs in its language, and their number."""
+        code, good = _pairs(windows)
+        flat = self.logs[language[:, None], code]
+        return np.where(good, flat, 0).sum(axis=1), good.sum(axis=1)
+
+    def familiar(self, total: np.ndarray, n: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """How many bits a pair the mean lies above the cutoff; texts without pairs lie at 0."""
+        some = np.maximum(n, 1)
+        return np.where(n > 0, total / some - self.level[language] + self.slope[language] / np.sqrt(some), 0.0)
+
+
+def _pairs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of neighbouring kinds, and which of them hold a letter."""
+    kind = _KIND[windows]
+    return kind[:, :-1] * _KINDS + kind[:, 1:], (kind[:, :-1] > 0) | (kind[:, 1:] > 0)
+
+
 def _sampled(per_text: int):
     """Rows (label, text) to rows (label, window): some windows of each text, at even distances."""
 
@@ -132,8 +190,8 @@ def _sampled(per_text: int):
     return each
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", texts_per_label: int = 700, per_text: int = 3, steps: int = 500) -> tuple[list[str], ByteNet] | None:
-    """Languages and a network, from about ``texts_per_label`` texts of each label (by a hash of text and id); None without labelled text.
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", texts_per_label: int = 700, per_text: int = 3, steps: int = 500) -> tuple[list[str], ByteNet, Pairs] | None:
+    """Languages, a network and pairs of letters, from about ``texts_per_label`` texts of each label (by a hash of text and id); None without labelled text.
 
     The driver gets at most about ``texts_per_label * per_text`` windows of each label and one row for each label.
     """
@@ -147,16 +205,17 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     found = sorted((r["label"], bytes(r["window"])) for r in found)
     labels = sorted(counts)
     data = np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, WINDOW)
-    return labels, fit(data, np.array([labels.index(k) for k, _ in found]), len(labels), steps)
+    own = np.array([labels.index(k) for k, _ in found])
+    return labels, fit(data, own, len(labels), steps), Pairs.of(data, own, len(labels))
 
 
-def _scored(text_at: int, columns: int, net: ByteNet | None, names: list[str], schema_names: list[str]):
-    """Batches with a text and a flag (whether it has a letter, last) to their first columns, language and score."""
+def _scored(text_at: int, columns: int, net: ByteNet | None, names: list[str], schema_names: list[str], pairs: Pairs | None = None):
+    """Batches with a text and a flag (whether it has a letter, last) to their first columns, language, score and, with ``pairs``, familiarity."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = np.asarray(batch.column(batch.num_columns - 1).fill_null(False))
-            pred, score = np.full(len(letters), -1), np.zeros(len(letters))
+            pred, score, known = np.full(len(letters), -1), np.zeros(len(letters)), np.zeros(len(letters))
             for first, to, data, offsets in slices(batch.column(text_at), 1 << 18) if net is not None else ():
                 made, row, length = windows_of(data, offsets)
                 if not len(row):
@@ -170,24 +229,32 @@ def _scored(text_at: int, columns: int, net: ByteNet | None, names: list[str], s
                 at = first + np.flatnonzero(fine)
                 pred[at] = total[fine].argmax(1)
                 score[at] = np.clip(total[fine].max(1) / sums[fine], 0, 1)
+                if pairs is not None:
+                    language = np.maximum(total.argmax(1), 0)
+                    parts = [pairs.sums(made[i : i + 256], language[row[i : i + 256]]) for i in range(0, len(made), 256)]
+                    bits, n = (np.bincount(row, np.concatenate([p[k] for p in parts]), to - first) for k in range(2))
+                    known[at] = pairs.familiar(bits, n, language)[fine]
             labels = pa.array([UNKNOWN if p < 0 else names[p] for p in pred], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(columns)), labels, pa.array(score)], schema_names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(columns)), labels, pa.array(score), *([pa.array(known)] if pairs is not None else [])], schema_names)
 
     return each
 
 
-def identify(docs: DataFrame, model: tuple[list[str], ByteNet] | None, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*columns, lang_pred, score) for each row: the language of the whole text and its mean chance over the windows.
+def identify(docs: DataFrame, model: tuple[list[str], ByteNet, Pairs] | None, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), familiarity: bool = False) -> DataFrame:
+    """(*columns, lang_pred, score[, familiar]) for each row: the language of the whole text and its mean chance over the windows.
 
-    ``und`` with score 0 where the text is null or has no letter, or without a model. Only the text is looked at.
+    ``familiar`` tells by how many bits a pair of letters the text lies above what texts of that language reach; below 0 it
+    is in none of the languages. ``und`` with score 0 where the text is null or has no letter, or without a model. Only the text is looked at.
     Repeated rows give repeated results; an empty table gives an empty result. ``columns`` that are called like the results
     are refused.
     """
-    if {"lang_pred", "score"} & set(columns):
-        raise ValueError("columns named lang_pred or score would clash with the results")
+    if {"lang_pred", "score", "familiar"} & set(columns):
+        raise ValueError("columns named lang_pred, score or familiar would clash with the results")
     schema = T.StructType([docs.schema[c] for c in columns]).add("lang_pred", "string").add("score", "double")
+    if familiarity:
+        schema = schema.add("familiar", "double")
     rows = docs.select(*columns, F.col(text_col).alias("_text"), F.col(text_col).rlike(r"\p{L}").alias("_letters"))
-    each = _scored(len(columns), len(columns), model[1] if model else None, model[0] if model else [], schema.names)
+    each = _scored(len(columns), len(columns), model[1] if model else None, model[0] if model else [], schema.names, None if not familiarity else model[2] if model else Pairs(np.zeros((1, _KINDS**2)), np.zeros(1), np.zeros(1)))
     return rows.transform(text_batches).mapInArrow(each, schema)
 
 
