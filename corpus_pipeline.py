@@ -18,17 +18,18 @@ LEAST_SCORE = 0.4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or without a language to speak of, go.
+    """Language ID: documents without a letter, or in none of the languages that the table's labels teach, go.
 
-    Null and empty texts have no letter. Rows that repeat are judged alike. Where no row has a text and a label to learn from,
+    The best language's mean chance must be at least ``LEAST_SCORE``. Chances only compare languages, so pairs of letters must
+    also be as usual as in that language's labelled texts (``language.Pairs``). Null and empty texts have no letter. Rows that repeat are judged alike. Where no row has a text and a label to learn from,
     all documents with a letter stay.
     """
     model = language.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    found = language.identify(plain, model, text_col=f"c{docs.columns.index('text')}", columns=tuple(plain.columns))
-    known = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = language.identify(plain, model, text_col=f"c{docs.columns.index('text')}", columns=tuple(plain.columns), familiarity=True)
+    known = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("familiar") >= 0))
     return known.select(*(F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns, strict=True)))
 
 
