@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectrail import schemas
 from spectrail.functions.scalars import digits_within, log_intensity
-from spectrail.operators import calibration, distribution, mapping, registry, spectra, summary
+from spectrail.operators import calibration, distribution, mapping, registry, rollup, spectra, summary
 from spectrail.plans import fixtures as fx
 from spectrail.sources import tables
 from spectrail.sources.shared import new_path, saved
@@ -67,6 +67,25 @@ def summary_by_group_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.compare(fx.psms(spark, sf_dir).withColumn("label", F.expr("concat('file', psm_id % 7)")), FDR, "peptide")
 
 
+def _bitmaps(psms: DataFrame) -> DataFrame:
+    """Bitmaps of seven files, of which the last two come later and extend the dictionary."""
+    label = F.expr("concat('file', psm_id % 7)")
+    first, later = (rollup.keys(summary.fdr_filter(psms, FDR, "peptide").where(w), label) for w in ("psm_id % 7 < 5", "psm_id % 7 >= 5"))
+    codes = saved(rollup.dictionary(first))
+    more = saved(rollup.dictionary(later, codes))
+    return rollup.bitmaps(first, codes).unionByName(rollup.bitmaps(later, more))
+
+
+@query(_summary_sql("WHERE peptide_q <= 0.01e0"))
+def merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.merged_counts(_bitmaps(fx.psms(spark, sf_dir)))
+
+
+@query(ORACLES["summary_by_group_sorted"].removeprefix(f"WITH {fx.SQL}"))
+def merged_summary_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.merged_counts(_bitmaps(fx.psms(spark, sf_dir)), "by").withColumnRenamed("by", "label")
+
+
 _KEYS = "cast(regexp_extract(scannr, 'precursor_idx=(\\d+)', 1) AS bigint) AS precursor_idx, cast(regexp_extract(scannr, 'charge=(\\d+)', 1) AS int) AS charge"
 
 
