@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spectrail import schemas
 from spectrail.operators import distribution, mapping, registry, summary
-from spectrail.sources import tables
+from spectrail.sources import columns, tables
 
 REGISTRY_VARIABLE = "SPECTRAIL_REGISTRY"
 _COLUMNS = ("label", *summary.COUNTS)
@@ -83,7 +83,7 @@ def run_convert(args: argparse.Namespace) -> int:
 def run_map(args: argparse.Namespace) -> int:
     spark = _spark()
     psms, fragments = spark.read.parquet(args.psms), tables.with_row_position(spark, args.fragments)
-    found = mapping.map_fragments(psms, fragments, spark.read.parquet(args.precursors), spark.read.parquet(args.library), args.mz_err_tol)
+    found = mapping.map_fragments(psms, fragments, spark.read.parquet(args.precursors), columns.read_library(spark, args.library, ["mz"]), args.mz_err_tol)
     tables.write_mapping(found, args.output)
     return 0
 
@@ -93,7 +93,7 @@ def run_scores(args: argparse.Namespace) -> int:
     spark = _spark()
     read = lambda path: spark.read.parquet(path)
     method, params = tables.score_label(args.config)
-    slices = distribution.compare_scores(read(args.library), read(args.mapping), read(args.mapped))
+    slices = distribution.compare_scores(columns.read_library(spark, args.library, ["score", "intensity"]), read(args.mapping), read(args.mapped))
     if not slices:
         print("no finite score or no matched peak")
     for s in slices:

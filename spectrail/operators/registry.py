@@ -1,12 +1,17 @@
 """A registry of search runs on storage without updates.
 
 Tables are appended to: ``runs`` and ``snapshots`` hold what was recorded, ``events`` what happened to a run later. The
-current state of a run is its record with its events applied in order. One writer at a time.
+current state of a run is its record with its events applied in order.
+
+A change is one transaction: its rows are written to folders of their own, and then a version file that names them is put
+where none is yet. Readers take what version files name, so a writer that breaks off leaves nothing visible; of two writers
+that read the same version one finds its file there already, reads again and repeats its change.
 """
 
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectrail import schemas
+from spectrail.sources.shared import saved
+from spectrail.sources.versions import Versions
 
 KEY = ("dataset", "cfg", "search_engine")
 EVENTS = T.StructType([T.StructField("event_seq", T.LongType()), T.StructField("run_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("regression", T.IntegerType()), T.StructField("message", T.StringType())])
@@ -85,32 +92,62 @@ def bested(runs: DataFrame, run_id: int, message: str | None = None) -> DataFram
     return joined.select(*runs.columns)
 
 
+TABLES = {"runs": schemas.RUNS, "snapshots": schemas.SNAPSHOTS, "events": EVENTS}
+#: How often a change is repeated when other writers come before it.
+ATTEMPTS = 20
+
+
 class Registry:
-    """A registry in a folder: tables ``runs``, ``snapshots`` and ``events``."""
+    """A registry in a folder: tables ``runs``, ``snapshots`` and ``events``, and ``versions``, which says what belongs to them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).option("mergeSchema", "true").parquet(f"{self.path}/{name}")
-
-    def _append(self, name: str, schema: T.StructType, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+        self.versions = Versions(spark, f"{self.path}/versions")
+
+    def _table(self, name: str, version: int | None = None) -> DataFrame:
+        kinds = T.StructType([T.StructField(f.name, f.dataType) for f in TABLES[name]])
+        folders = [f for v in self.versions.read(version) for f in v.get(name, [])]
+        if not folders:
+            return self.spark.createDataFrame([], kinds)
+        return self.spark.read.schema(kinds).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def _written(self, name: str, rows: DataFrame | list[tuple]) -> str:
+        """Rows in a folder that no version names yet."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df = self.spark.createDataFrame(rows, TABLES[name]).coalesce(1) if isinstance(rows, list) else rows
+        df.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _change(self, make: Callable[[int], tuple[dict[str, DataFrame | list[tuple]], int]]) -> int:
+        """Commits what ``make`` returns for the version that it is given, tables' new rows and a result, and returns the result."""
+        for _ in range(ATTEMPTS):
+            version = self.versions.last()
+            tables, result = make(version)
+            if not tables:
+                return result
+            named = {name: [self._written(name, rows)] for name, rows in tables.items()}
+            if self.versions.put(version + 1, named):
+                return result
+        raise RegistryError(f"other writers came first {ATTEMPTS} times")
 
     def init(self) -> None:
-        """Creates what is missing."""
-        for name, schema in (("runs", schemas.RUNS), ("snapshots", schemas.SNAPSHOTS), ("events", EVENTS)):
-            self._append(name, schema, [])
+        """Creates the registry where it is missing."""
+        if self.versions.last() == 0:
+            self.versions.put(1, {})
+
+    def adopt(self, runs: DataFrame) -> None:
+        """Takes over runs of any older form, with their numbers, in one transaction."""
+        self._change(lambda version: ({"runs": migrated(runs)}, 0))
 
     def snapshots(self) -> DataFrame:
-        return self._table("snapshots", schemas.SNAPSHOTS)
+        return self._table("snapshots")
 
-    def runs(self) -> DataFrame:
-        """The current state: the last event that sets a column decides; bested events without a message keep the one before."""
-        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schemas.RUNS])
-        rows = migrated(self._table("runs", nullable))
+    def runs(self, version: int | None = None) -> DataFrame:
+        """The current state, or that of a version: the last event that sets a column decides; bested events without a message keep the one before."""
+        version = self.versions.last() if version is None else version
+        rows = migrated(self._table("runs", version))
         by = Window.partitionBy("run_id").orderBy(F.desc("event_seq"))
-        events = self._table("events", EVENTS)
+        events = self._table("events", version)
         speaks = (F.col("kind") == "reviewed") | F.col("message").isNotNull()
         last = events.withColumn("_n", F.row_number().over(by)).where("_n = 1").select("run_id", F.col("kind").alias("_kind"))
         said = events.where(speaks).withColumn("_n", F.row_number().over(by)).where("_n = 1").select("run_id", F.lit(True).alias("_said"), F.col("message").alias("_message"))
@@ -120,37 +157,41 @@ class Registry:
         return out.select(*[f.name for f in schemas.RUNS])
 
     def record(self, run: dict, git_rows: Iterable[dict] = ()) -> int:
-        """Appends a run, its snapshots first, and returns its id. Accepted runs are reviewed at once."""
-        accepted = bool(run.get("accepted"))
-        new = (self._table("runs", schemas.RUNS).agg(F.max("id")).first()[0] or 0) + 1
-        first = (self.snapshots().agg(F.max("id")).first()[0] or 0) + 1
-        git = list(git_rows)
-        if git:
-            self._append("snapshots", schemas.SNAPSHOTS, [(first + i, new, g["repo_name"], g["repo_url"], g["commit_hash"]) for i, g in enumerate(git)])
+        """Adds a run and its snapshots in one transaction and returns its id. Accepted runs are reviewed at once."""
+        accepted, git = bool(run.get("accepted")), list(git_rows)
         row = {"status": "reviewed" if accepted else "unreviewed", "regression": 0, "message": run.get("acceptance_reason"), "run_date": datetime.datetime.now(datetime.timezone.utc).isoformat()} | run
-        row |= {"id": new, "accepted": int(accepted)}
-        self._append("runs", schemas.RUNS, [tuple(row.get(f.name) for f in schemas.RUNS)])
-        return new
 
-    def _event(self, rows: list[tuple]) -> None:
-        seq = (self._table("events", EVENTS).agg(F.max("event_seq")).first()[0] or 0) + 1
-        self._append("events", EVENTS, [(seq + i, *r) for i, r in enumerate(rows)])
+        def make(version: int) -> tuple[dict, int]:
+            new = (self._table("runs", version).agg(F.max("id")).first()[0] or 0) + 1
+            tables = {"runs": [tuple((row | {"id": new, "accepted": int(accepted)}).get(f.name) for f in schemas.RUNS)]}
+            if git:
+                first = (self._table("snapshots", version).agg(F.max("id")).first()[0] or 0) + 1
+                tables["snapshots"] = [(first + i, new, g["repo_name"], g["repo_url"], g["commit_hash"]) for i, g in enumerate(git)]
+            return tables, new
+
+        return self._change(make)
 
     def review(self, run_id: int, regression: int, message: str | None) -> None:
-        if not self.runs().where(F.col("id") == run_id).take(1):
-            raise RegistryError(f"no run {run_id}")
-        self._event([(run_id, "reviewed", regression, message)])
+        def make(version: int) -> tuple[dict, int]:
+            if not self._table("runs", version).where(F.col("id") == run_id).take(1):
+                raise RegistryError(f"no run {run_id}")
+            return {"events": [(version + 1, run_id, "reviewed", regression, message)]}, run_id
+
+        self._change(make)
 
     def mark_bested(self, run_id: int, message: str | None = None) -> int:
-        """Marks the older unreviewed runs that this one is better than; returns their number."""
-        runs = self.runs()
-        check_bests(runs, run_id)
-        before = runs.select("id", F.col("status").alias("_was"))
-        hit = bested(runs, run_id).join(before, "id").where("status = 'bested' AND _was <> 'bested'").select("id")
-        ids = [r["id"] for r in hit.collect()]
-        if ids:
-            self._event([(i, "bested", None, message) for i in ids])
-        return len(ids)
+        """Marks the older unreviewed runs that this one is better than; returns their number. The ids stay on the executors."""
+
+        def make(version: int) -> tuple[dict, int]:
+            runs = self.runs(version)
+            check_bests(runs, run_id)
+            before = runs.select("id", F.col("status").alias("_was"))
+            hit = bested(runs, run_id).join(before, "id").where("status = 'bested' AND _was <> 'bested'")
+            events = saved(hit.select(F.lit(version + 1).cast("long").alias("event_seq"), F.col("id").alias("run_id"), F.lit("bested").alias("kind"), F.lit(None).cast("int").alias("regression"), F.lit(message).cast("string").alias("message")))
+            n = events.count()
+            return ({"events": events} if n else {}), n
+
+        return self._change(make)
 
 
 def capture_commits(get_commits: Callable[[], Iterable[str]]) -> list[dict]:

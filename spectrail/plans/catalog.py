@@ -11,7 +11,7 @@ from spectrail import schemas
 from spectrail.functions.scalars import digits_within, log_intensity
 from spectrail.operators import calibration, distribution, mapping, registry, rollup, spectra, summary
 from spectrail.plans import fixtures as fx
-from spectrail.sources import tables
+from spectrail.sources import columns, tables
 from spectrail.sources.shared import new_path, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,7 +444,7 @@ CASE WHEN id = 4 THEN 'checked' WHEN {_BETTER} THEN 'a better run' END AS messag
 def registry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = registry.Registry(spark, new_path(spark))
     book.init()
-    registry.migrated(fx.runs(spark, sf_dir)).write.mode("append").parquet(f"{book.path}/runs")
+    book.adopt(fx.runs(spark, sf_dir))
     book.review(4, 1, "checked")
     new = book.record({"pipeline_path": "p", "dataset": "D3", "cfg": "1-URGENT", "search_engine": "F", "peptide_count": 10**9})
     book.mark_bested(new, "a better run")
@@ -492,3 +492,10 @@ def largest_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     _spectra(spark, sf_dir).select(F.concat("spectrum", F.lit("END IONS"))).write.text(path)
     return spectra.largest(spectra.max_fragment_mz(spectra.records(spark, path)))
+
+
+@query("SELECT fragment_idx, mz, intensity FROM library")
+def library_from_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    columns.write_columns(fx.library(spark, sf_dir), path, "fragment_idx")  # numbers from 0 without gaps
+    return columns.read_columns(spark, path, ["mz", "intensity"], "fragment_idx")

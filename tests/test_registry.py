@@ -58,3 +58,74 @@ def test_log_metrics():
     assert tables.log_metrics(text) == {"ions": None, "peptides": 4, "proteins": None, "psms": 12}
     with pytest.raises(ValueError):
         tables.log_metrics("nothing")
+
+
+def test_a_writer_that_breaks_off_leaves_nothing(spark, tmp_path, monkeypatch):
+    book = r.Registry(spark, str(tmp_path))
+    book.init()
+    book.record(_run(), [{"repo_name": "a", "repo_url": "u", "commit_hash": "h"}])
+    written = book._written
+
+    def broken(name, rows):
+        out = written(name, rows)
+        if name == "snapshots":
+            raise KeyboardInterrupt
+        return out
+
+    monkeypatch.setattr(book, "_written", broken)
+    with pytest.raises(KeyboardInterrupt):
+        book.record(_run(), [{"repo_name": "b", "repo_url": "u", "commit_hash": "h"}])
+    monkeypatch.setattr(book, "_written", written)
+    monkeypatch.setattr(book.versions, "put", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        book.record(_run(), [{"repo_name": "b", "repo_url": "u", "commit_hash": "h"}])
+    again = r.Registry(spark, str(tmp_path))
+    assert [x.id for x in again.runs().collect()] == [1] and [x.repo_name for x in again.snapshots().collect()] == ["a"]
+    assert again.record(_run(), [{"repo_name": "c", "repo_url": "u", "commit_hash": "h"}]) == 2
+    assert sorted((x.id, x.run_id, x.repo_name) for x in again.snapshots().collect()) == [(1, 1, "a"), (2, 2, "c")]
+
+
+def test_two_writers_take_different_ids(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    books = [r.Registry(spark, str(tmp_path)) for _ in range(4)]
+    books[0].init()
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda b: b.record(_run(), [{"repo_name": "a", "repo_url": "u", "commit_hash": "h"}]), books))
+    assert sorted(ids) == [1, 2, 3, 4]
+    assert sorted((x.id, x.run_id) for x in books[0].snapshots().collect()) == [(i, i) for i in range(1, 5)]
+
+
+def test_the_other_writer_comes_first(spark, tmp_path, monkeypatch):
+    one, two = r.Registry(spark, str(tmp_path)), r.Registry(spark, str(tmp_path))
+    one.init()
+    put, made = one.versions.put, []
+
+    def late(version, content):
+        if not made:
+            made.append(two.record(_run(dataset="other")))
+        return put(version, content)
+
+    monkeypatch.setattr(one.versions, "put", late)
+    assert one.record(_run()) == 2 and made == [1]
+    assert sorted((x.id, x.dataset) for x in two.runs().collect()) == [(1, "other"), (2, "d")]
+
+
+def test_versions_by_the_file_systems_rename(spark, tmp_path):
+    from spectrail.sources.versions import Versions
+
+    local = Versions(spark, str(tmp_path / "v"))
+    assert local.last() == 0 and local.put(1, {"a": [1]}) and not local.put(1, {"a": [2]}) and local.read() == [{"a": [1]}]
+    other = Versions(spark, f"file://{tmp_path}/w")
+    other.local = None  # as if on a store
+    assert other.last() == 0 and other.read() == [] and other.put(1, {"a": [1]}) and other.put(2, {"b": []})
+    assert other.last() == 2 and other.read() == [{"a": [1]}, {"b": []}] and other.read(1) == [{"a": [1]}]
+
+
+def test_states_of_older_versions(spark, tmp_path):
+    book = r.Registry(spark, str(tmp_path))
+    book.init()
+    book.record(_run())
+    before = book.versions.last()
+    book.review(1, 1, "odd")
+    assert [x.status for x in book.runs().collect()] == ["reviewed"] and [x.status for x in book.runs(before).collect()] == ["unreviewed"]
