@@ -16,12 +16,13 @@ BINS_1D, BINS_2D, BINS_FACET = 100, 200, 50
 
 @dataclass(frozen=True)
 class Axis:
-    """An evenly binned range; ``n`` values were finite when it was measured."""
+    """An evenly binned range; ``n`` values of ``total`` rows were finite when it was measured."""
 
     low: float
     high: float
     bins: int
     n: int
+    total: int = 0
 
     @property
     def edges(self) -> list[float]:
@@ -57,11 +58,13 @@ def ranges(peaks: DataFrame, threshold: float | None = None, score: str = "score
 
 
 def axes(peaks: DataFrame, threshold: float | None = None, bins: int = BINS_2D, score: str = "score", intensity: str = "intensity") -> tuple[Axis, Axis] | None:
-    """Axes of score and log-intensity, by one pass that returns one row; None without a finite peak."""
-    r = ranges(peaks, threshold, score, intensity).first()
+    """Axes of score and log-intensity, by one pass that also counts all rows and returns one; None without a finite peak."""
+    good, log = passes(threshold, score, intensity), log_intensity(F.col(intensity))
+    only = lambda x: F.when(good, x)
+    r = peaks.agg(F.min(only(F.col(score))).alias("a"), F.max(only(F.col(score))).alias("b"), F.min(only(log)).alias("c"), F.max(only(log)).alias("d"), F.count_if(good).alias("n"), F.count(F.lit(1)).alias("total")).first()
     if not r["n"]:
         return None
-    return Axis(*widened(r["score_min"], r["score_max"]), bins, r["n"]), Axis(*widened(r["log_min"], r["log_max"]), bins, r["n"])
+    return Axis(*widened(r["a"], r["b"]), bins, r["n"], r["total"]), Axis(*widened(r["c"], r["d"]), bins, r["n"], r["total"])
 
 
 def score_axis(peaks: DataFrame, threshold: float | None = None, bins: int = BINS_1D, score: str = "score", intensity: str = "intensity") -> Axis | None:
@@ -241,7 +244,7 @@ def slice_data(name: str, library: DataFrame, matched: DataFrame, threshold: flo
     smooth = [smoothed(cells, log, score, f"{part}_share").withColumnRenamed("smooth", part) for part in ("matched", "unmatched")]
     contours = smooth[0].join(smooth[1], ["log_bin", "score_bin"], "full")
     facet = Axis(score.low, score.high, BINS_FACET, score.n)
-    notes = [drop_message(f"{name}, matched", rows, kept), drop_message(f"{name}, all", library.count(), score.n)]
+    notes = [drop_message(f"{name}, matched", rows, kept), drop_message(f"{name}, all", score.total, score.n)]
     return Slice(name, threshold, score, log, cells, contours, counts, facets(matched_good, facet), [x for x in notes if x])
 
 

@@ -341,12 +341,34 @@ def calibration_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.ppm_ranges(fx.psms(spark, sf_dir))
 
 
+_SPLINES = """
+, r AS (SELECT min(expmass) AS a, max(expmass) AS b FROM psms), t AS (SELECT least(greatest((expmass - a) / ((b - a) / 9), 0.0e0), 9.0e0) AS t, precursor_ppm AS y FROM psms, r),
+u AS (SELECT least(floor(t), 8) AS p, t - least(floor(t), 8) AS u, y FROM t),
+v AS (SELECT [1.0e0] || [CASE WHEN p = j THEN (1 - u) * (1 - u) / 2 WHEN p = j - 1 THEN (-2 * u * u + 2 * u + 1) / 2 WHEN p = j - 2 THEN u * u / 2 ELSE 0.0e0 END FOR j IN range(10)] || [y] AS v FROM u)
+SELECT cast(i AS int) AS i, cast(j AS int) AS j, round(sum(v[i + 1] * v[j + 1]), 3) AS s FROM v, range(12) x(i), range(12) z(j) WHERE i <= j GROUP BY i, j"""
+
+
+@query(_SPLINES)
+def calibration_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    psms = fx.psms(spark, sf_dir)
+    r = psms.agg(F.min("expmass").alias("a"), F.max("expmass").alias("b")).first()
+    sums = calibration.gram(psms, calibration.Basis(r["a"], r["b"]), F.col("precursor_ppm"), "expmass")
+    return spark.createDataFrame([(i, j, float(sums[i, j])) for i in range(12) for j in range(i, 12)], "i int, j int, s double").withColumn("s", F.round("s", 3))
+
+
 @query()
 def calibration_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = calibration.split(fx.psms(spark, sf_dir))
+    train, test = calibration.split(fx.psms(spark, sf_dir), key="psm_id")
     found = calibration.spline(train, "precursor_ppm").predict(test)
-    inside = F.col("precursor_ppm").between(F.col("low"), F.col("high"))
-    return found.agg(F.avg(F.abs(F.col("precursor_ppm") - F.col("prediction"))).alias("mae"), F.avg(inside.cast("double")).alias("within_band"), F.count(F.lit(1)).alias("n"))
+    inside = found.agg(F.avg(F.col("precursor_ppm").between(F.col("low"), F.col("high")).cast("double")).alias("within_band"))  # one row each
+    return calibration.metrics(found, "precursor_ppm").crossJoin(inside)
+
+
+@query()
+def calibration_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = calibration.split(fx.psms(spark, sf_dir), key="psm_id")
+    each = [calibration.metrics(calibration.boosted(train, t).predict(test), t).withColumn("target", F.lit(t)) for t in ("precursor_ppm", "fragment_ppm")]
+    return each[0].unionByName(each[1])
 
 
 @query(f"SELECT fragment_idx, round({_LOG}, 9) AS log_intensity FROM library")
