@@ -37,7 +37,8 @@ def _lines(rows: list[dict], separator: str) -> str:
 
 
 def run_summary(args: argparse.Namespace) -> int:
-    files, empty = tables.discover(args.inputs, args.glob)
+    remote = _spark() if any("://" in x for x in args.inputs) else None
+    files, empty = tables.discover(args.inputs, args.glob, remote)
     for item in empty:
         print(f"nothing found in {item}", file=sys.stderr)
     rows = _counts(_spark(), files, args.fdr, args.level) if files else []

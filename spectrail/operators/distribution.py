@@ -197,6 +197,29 @@ def smoothed(cells: DataFrame, axis_y: Axis, axis_x: Axis, count: str = "count",
     return rows.select("log_bin", "score_bin", "smooth")
 
 
+def draws(cells: DataFrame, place: str = "bin", weight: str = "count", n: int = 200_000, seed: int = 0, out: str = "draws") -> DataFrame:
+    """``cells`` with how often each is drawn in ``n`` draws in proportion to whole weights: systematic sampling, the same in each run.
+
+    Draw k falls on the unit (k * total + offset) / n of all units of weight in the order of ``place``, a whole number that tells
+    cells apart; the offset comes from the seed. So each cell is drawn within one of its expectation. Null and negative
+    weights count as 0, and without any weight there are no draws. Running sums go over buckets of places and inside them.
+    """
+    unit = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)).cast("decimal(38,0)")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = cells.withColumns({"_w": unit, "_bucket": F.floor(F.col(place) / F.lit(4096))})
+    sums = rows.groupBy("_bucket").agg(F.sum("_w").alias("_w"))
+    starts = sums.select("_bucket", before(Window.orderBy("_bucket"), "_w").alias("_start"))  # one row for 4,096 places
+    total = cells.agg(F.coalesce(F.sum(unit), F.lit(0)).alias("_total"))  # one row
+    inside = rows.withColumn("_in", before(Window.partitionBy("_bucket").orderBy(place), "_w"))
+    low = F.col("_start") + F.col("_in")
+    offset = F.lit(seed * 2_654_435_761 + 1_013_904_223).cast("decimal(38,0)") % F.col("_total")
+    # draws below a unit: the least k with k * total + offset >= unit * n
+    upto = lambda c: F.ceil(((c * n).cast("decimal(38,0)") - offset) / F.col("_total"))
+    found = inside.join(F.broadcast(starts), "_bucket").crossJoin(total)
+    number = F.when(F.col("_total") > 0, upto(low + F.col("_w")) - upto(low)).otherwise(0).cast("long")
+    return found.select(*cells.columns, number.alias(out))
+
+
 def drop_message(what: str, before: int, after: int) -> str | None:
     """A line about dropped rows; None where all stayed."""
     return None if before == after else f"{what}: {before - after} of {before} dropped, {after} left"

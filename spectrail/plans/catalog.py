@@ -225,6 +225,18 @@ def score_hist_1d_thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.histogram(distribution.passing(lib, 3.0), F.col("score"), distribution.score_axis(lib, 3.0))
 
 
+_DRAWN = """
+, cells AS (SELECT psm_id % 1000 AS bin, count(*) * (psm_id % 1000) AS w FROM psms GROUP BY 1),
+c AS (SELECT bin, w, sum(w) OVER (ORDER BY bin) - w AS low, sum(w) OVER () AS total FROM cells), o AS (SELECT *, 1013904223 % total AS o FROM c)
+SELECT bin, cast(w AS bigint) AS count, cast((((low + w) * 200000 - o + total - 1) // total) - ((low * 200000 - o + total - 1) // total) AS bigint) AS draws FROM o"""
+
+
+@query(_DRAWN)
+def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.psms(spark, sf_dir).groupBy(F.expr("psm_id % 1000").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return distribution.draws(cells.select("bin", (F.col("n") * F.col("bin")).alias("count")))
+
+
 def _bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
     """The number of edges at or below x, less one; the last edge belongs to the last bin."""
     edges = f"[CASE WHEN k = {bins} THEN {hi} ELSE {lo} + k * (({hi} - {lo}) / {bins}.0e0) END FOR k IN range({bins + 1})]"

@@ -53,8 +53,8 @@ def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType = schemas.PSMS) -> DataFrame:
-    """Search results: Parquet where the path ends so, else a table with tabs and a header. A missing local path is an error."""
-    if "://" not in path and not Path(path).exists():
+    """Search results: Parquet where the path ends so, else a table with tabs and a header. A missing path is an error on any storage."""
+    if not _exists(spark, path):
         raise FileNotFoundError(path)
     return spark.read.parquet(path) if path.endswith(".parquet") else read_tsv(spark, path, schema)
 
@@ -77,18 +77,57 @@ def with_row_position(spark: SparkSession, path: str, name: str = "sage_fragment
     return rows.join(starts, "_file").withColumn(name, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start", "_n")
 
 
-def discover(inputs: Sequence[str], pattern: str = "**/results.sage.tsv") -> tuple[list[tuple[str, str]], list[str]]:
-    """((path, label) of each result file, inputs without any). A file is itself, a folder gives what matches, in order."""
+def _glob(pattern: str) -> re.Pattern[str]:
+    """A pattern for paths: ** stands for any folders, none included, * and ? for characters of one name."""
+    parts = re.split(r"(\*\*/|\*|\?)", pattern)
+    known = {"**/": "(?:[^/]+/)*", "*": "[^/]*", "?": "[^/]"}
+    return re.compile("".join(known.get(x, re.escape(x)) for x in parts))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _listed(spark: SparkSession, folder: str, pattern: str) -> list[tuple[str, str]]:
+    """(path, label) of what matches below a folder on any storage that Spark reads; only names are looked at, no content."""
+    name = pattern.rsplit("/", 1)[-1]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder).select("path")
+    root = unquote(urlparse(folder).path).rstrip("/")
+    out = []
+    for uri in sorted(r["path"] for r in rows.collect()):  # one row for each result file
+        path = unquote(urlparse(uri).path)
+        if path == root:
+            out.append((folder, folder))
+        elif path.startswith(root + "/") and _glob(pattern).fullmatch(path[len(root) + 1 :]):
+            out.append((folder.rstrip("/") + path[len(root) :], path[len(root) + 1 :]))
+    return out
+
+
+def discover(inputs: Sequence[str], pattern: str = "**/results.sage.tsv", spark: SparkSession | None = None) -> tuple[list[tuple[str, str]], list[str]]:
+    """((path, label) of each result file, inputs without any). A file is itself, a folder gives what matches, in order.
+
+    Inputs with a scheme (file://, hdfs:// and so on) are listed by Spark's reader and need a session; a missing one is an error.
+    """
     found: list[tuple[str, str]] = []
     empty = []
-    for item in map(Path, inputs):
-        if item.is_file() or item.suffix == ".parquet":
-            found.append((str(item), str(item)))
-            continue
-        here = sorted(item.glob(pattern))
-        found += [(str(p), str(p.relative_to(item))) for p in here]
+    for given in inputs:
+        if "://" in given:
+            if spark is None:
+                raise ValueError(f"{given} needs a session")
+            if not _exists(spark, given):
+                raise FileNotFoundError(given)
+            here = [(given, given)] if given.endswith(".parquet") else _listed(spark, given, pattern)
+            found += here
+        else:
+            item = Path(given)
+            if item.is_file() or item.suffix == ".parquet":
+                found.append((str(item), str(item)))
+                continue
+            here = [(str(p), str(p.relative_to(item))) for p in sorted(item.glob(pattern))]
+            found += here
         if not here:
-            empty.append(str(item))
+            empty.append(given if "://" in given else str(item))
     return found, empty
 
 
@@ -107,7 +146,7 @@ def read_many(spark: SparkSession, files: Sequence[tuple[str, str]], schema: T.S
     names = [f.name for f in schema]
     out = spark.createDataFrame([], T.StructType([*schema, T.StructField("label", T.StringType())]))
     for path, _ in files:
-        if "://" not in path and not Path(path).exists():
+        if not _exists(spark, path):
             raise FileNotFoundError(path)
     tabs, parts = [x for x in files if not x[0].endswith(".parquet")], []
     if tabs:
@@ -197,5 +236,6 @@ def read_marker(path: str) -> int:
 
 
 def write_marker(path: str, run: dict) -> None:
+    # Keys of a marker file.
     keys = ("run_id", "accepted", "acceptance_reason", "status", "regression", "message")
     Path(path).write_text("".join(f"{k}={'' if run.get(k) is None else run[k]}\n" for k in keys))

@@ -84,3 +84,15 @@ def test_exact_quantiles_over_many_ranges(spark):
     for per_task in (1_000_000, 90, 7):
         assert np.allclose(d.quantiles(rows, "x", levels, per_task), np.quantile(values, levels), rtol=0, atol=1e-12)
     assert d.quantiles(rows.limit(0), "x", levels) == [None] * 6
+
+
+def test_draws_are_within_one_of_their_expectation(spark):
+    weights = [0, 5, 0, 1, 1000, 7, None, 3, -4]
+    cells = spark.createDataFrame([(i * 3000, w) for i, w in enumerate(weights)], "bin long, count long")
+    for n, seed in ((200_000, 0), (10, 3), (1, 9)):
+        found = {r.bin // 3000: r.draws for r in d.draws(cells, n=n, seed=seed).collect()}
+        total = sum(w for w in weights if w and w > 0)
+        assert sum(found.values()) == n
+        assert all(abs(found[i] - n * max(w or 0, 0) / total) < 1 + 1e-9 for i, w in enumerate(weights)) and found[0] == found[6] == found[8] == 0
+        assert found == {r.bin // 3000: r.draws for r in d.draws(cells.repartition(5), n=n, seed=seed).collect()}
+    assert [r.draws for r in d.draws(cells.where("count = 0")).collect()] == [0, 0]

@@ -55,3 +55,49 @@ def test_stream_ends_with_what_is_there(spark, tmp_path):
     spark.createDataFrame(rows, schemas.PSMS).write.parquet(str(tmp_path / "in"))
     filter_arriving(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_discovery_by_the_reader(spark, tmp_path):
+    for name in ("a/results.sage.tsv", "a/b c/d/results.sage.tsv", "a/other.tsv", "e/x.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("psm_id\tpeptide\n")
+    root = f"file://{tmp_path}"
+    found, empty = tables.discover([f"{root}/a", f"{root}/e", f"{root}/a/other.tsv"], spark=spark)
+    assert [label for _, label in found] == ["b c/d/results.sage.tsv", "results.sage.tsv"] and empty == [f"{root}/e", f"{root}/a/other.tsv"]
+    assert [p for p, _ in found] == [f"{root}/a/b c/d/results.sage.tsv", f"{root}/a/results.sage.tsv"]
+    local, _ = tables.discover([str(tmp_path / "a")])
+    assert [label for _, label in found] == [label for _, label in local]
+    assert tables.discover([f"{root}/a/other.tsv"], "*.tsv", spark)[0] == [(f"{root}/a/other.tsv", f"{root}/a/other.tsv")]
+    assert [label for _, label in tables.discover([f"{root}/a"], "*/*/results.*", spark)[0]] == ["b c/d/results.sage.tsv"]
+    with pytest.raises(FileNotFoundError):
+        tables.discover([f"{root}/none"], spark=spark)
+    with pytest.raises(FileNotFoundError):
+        tables.read_results(spark, f"{root}/none.parquet")
+    with pytest.raises(ValueError):
+        tables.discover([f"{root}/a"])
+
+
+def test_many_files_by_their_urls(spark, tmp_path):
+    from spectrail import schemas
+
+    names = [f.name for f in schemas.PSMS]
+    for i in range(2):
+        (tmp_path / f"r{i}").mkdir()
+        (tmp_path / f"r{i}/results.sage.tsv").write_text("\t".join(names) + "\n" + f"{i}\tp\t2\tq\ts\t0\t0\t0\n" * (i + 1))
+    found, _ = tables.discover([f"file://{tmp_path}"], spark=spark)
+    rows = tables.read_many(spark, found).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in rows} == {"r0/results.sage.tsv": 1, "r1/results.sage.tsv": 2}
+
+
+def test_scratch_is_removed(spark):
+    from urllib.parse import urlparse
+
+    from spectrail.sources import shared
+
+    with shared.scratch(spark):
+        path = shared.new_path(spark)
+        spark.range(3).write.parquet(path)
+        kept = shared.saved(spark.range(5))
+        assert kept.count() == 5 and __import__("os").path.exists(urlparse(path).path)
+    assert not __import__("os").path.exists(urlparse(path).path)
+    assert shared.saved(spark.range(2)).count() == 2
