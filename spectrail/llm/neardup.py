@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.llm.tables import components, read, saved, text_batches
@@ -85,26 +85,33 @@ def sketch_documents(docs: DataFrame, k: int, t: int = COORDINATES, band: int =
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_id, items): the whole set of each text as hashes, ascending. ``docs`` has doc_id and text."""
+    """(doc_id, heads, member, text_id, items): the whole set of each text as hashes, ascending. ``docs`` has the first three and text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, to, row, value in _sets(batch.column(1), k):
                 n = to - first
                 steps = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.ListArray.from_arrays(pa.array(steps), pa.array(value.view(np.int64)))], ["doc_id", "text_id", "items"])
+                kept = [batch.column(i).slice(first, n) for i in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(steps), pa.array(value.view(np.int64)))], ["doc_id", "heads", "member", "text_id", "items"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).transform(text_batches).mapInArrow(each, "doc_id long, text_id long, items array<long>")
+    return docs.select("doc_id", "text", "heads", "member", F.xxhash64("text").alias("text_id")).transform(text_batches).mapInArrow(each, "doc_id long, heads boolean, member boolean, text_id long, items array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) of which any two sets are alike: 100 * intersection >= percent * union."""
-    one, two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
-    both = pairs.join(one, "b").join(two, "a")
+def _verified(pairs: DataFrame, ones: DataFrame, twos: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) of which any two sets are alike: 100 * intersection >= percent * union. ``ones`` has the sets of a, ``twos`` those of b."""
+    one, two = twos.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), ones.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
+    # sets of too different sizes need no comparison, nor a way to another task
+    both = pairs.join(one, "b").join(two, "a").where(_sized(F.size("ia"), F.size("ib"), percent))
     shared = F.size(F.array_intersect("ia", "ib"))
     return both.where(100 * shared >= percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b")
 
 
+def _sized(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be alike: the union is no smaller than the larger, the intersection no larger than the smaller."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, t: int = COORDINATES, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -121,15 +128,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, t: int = COO
     same = saved(ids.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select("set_lo", "set_hi", "n_shingles", "r.doc_id", "r.bands"))
     # buckets of two or more; a bucket's head is its first document
     members = same.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    heads = saved(members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    heads = saved(members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     inside = saved(members.join(heads, "bucket").select("bucket", "head", "n", "doc_id", "n_shingles"))
-    pairs = saved(inside.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
-    near = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    likely = inside.where((F.col("doc_id") != F.col("head.doc_id")) & _sized(F.col("n_shingles"), F.col("head.n_shingles"), percent))
+    pairs = saved(likely.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    # whose sets are needed: of heads, of members that are compared with one, and of buckets that may stay open
+    near = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("heads"), F.lit(False).alias("member"))
+    near = near.union(pairs.select("b", F.lit(False), F.lit(True))).union(inside.where("n > 2").select("doc_id", F.lit(False), F.lit(False)))
+    near = saved(near.groupBy("doc_id").agg(F.bool_or("heads").alias("heads"), F.bool_or("member").alias("member")))
     if near.isEmpty():
         links = pairs
     else:
-        sets = saved(shingle_sets(texts.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), k))
-        links = saved(_verified(pairs, sets, percent))
+        sets = saved(shingle_sets(texts.join(near, "doc_id").dropDuplicates(["doc_id", "text"]), k))
+        links = saved(_verified(pairs, sets.where("heads"), sets.where("member"), percent))
         links = _open_links(inside, links, sets, percent)
     # a document of several texts ties the documents that stand for them together
     which = F.struct("set_lo", "set_hi", "n_shingles")
@@ -166,7 +177,7 @@ def _open_links(inside: DataFrame, links: DataFrame, sets: DataFrame, percent: i
         return links
     smallest = saved(left.groupBy("bucket").agg(F.min(F.struct("n_shingles", "doc_id", "component")).alias("s")).select("bucket", F.col("s.doc_id").alias("a"), F.col("s.component").alias("ca")))
     pairs = left.join(smallest, "bucket").where("component <> ca").select("a", F.col("doc_id").alias("b")).distinct()
-    links = saved(links.union(_verified(saved(pairs), sets, percent)))
+    links = saved(links.union(_verified(saved(pairs), sets, sets, percent)))
     left = _open_buckets(left.drop("component"), links)
     if left.isEmpty():
         return links
@@ -196,7 +207,7 @@ def _prefix_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # 100 s >= p (na + nb - s) for s shared items, of which there are at most as many as the shorter rest
     room = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
     pairs = one.join(two, (one["item"] == two["item"]) & (F.col("ca") < F.col("cb")) & room).select("a", "b").distinct()
-    return _verified(saved(pairs), sets, percent)
+    return _verified(saved(pairs), sets, sets, percent)
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
