@@ -27,7 +27,8 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Elements by how they are treated.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select button audio video xmp noembed noframes".split())
+# Content that a browser that runs scripts and plays media does not show as text, that belongs to a form, or that is a drawing.
+_RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object canvas select button audio video xmp noembed noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -495,7 +496,8 @@ _TEXTS = "page_id long, url string, text string, n_chars long, n_blocks int, n_m
 def extract(pages: DataFrame, net: Labeller, least: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", batch: int = 64) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_main): the main blocks of every whole page, one to a line.
 
-    Null and empty pages, and pages without main text, have an empty text. Repeated rows give repeated results, ids and urls
+    Formulas (``math``) are text of their block; what ``_RAW`` lists is none. Null and empty pages, and pages without main
+    text, have an empty text. Repeated rows give repeated results, ids and urls
     may be null, an empty table gives an empty result, and other columns are not read.
     """
 

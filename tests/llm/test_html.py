@@ -32,6 +32,11 @@ def test_pages(spark, net):
     assert html.extract(df.limit(0), net).count() == 0
 
 
+def test_formulas_are_text():
+    page = "<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding=tex>E=m</annotation></math> is tall.<p>After <svg><text>no</text></svg>it.</article>"
+    assert [b.text for b in html.blocks(page)] == ["Energy E=m is tall.", "After it."]
+
+
 def test_made_pages_that_were_not_learnt(net):
     wrong = total = 0
     for k in range(70_000, 70_080):
