@@ -268,7 +268,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     A rule is met where its identifiers follow each other in the sequence of known sentences (unknown ones between them do
     not count); a rule whose place lies inside that of a longer rule that is met as well gives no row. A text with known
     sentences that meets no rule gives one row with null rule and licence. Null and empty texts, and texts without a
-    known sentence, give none; repeated rows give repeated results. A known sentence may be wrapped over lines, and has
+    known sentence, give none; repeated rows give repeated results, an empty table gives an empty result, and only the id and
+    the text are read, whatever other columns are called. A known sentence may be wrapped over lines, and has
     stops inside only where ``stops`` allows them.
     """
     missing = [s for s in known.values() if not any(m in s for m in marks)]

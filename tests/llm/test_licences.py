@@ -1,5 +1,7 @@
 import duckdb
 
+from pyspark.sql import functions as F
+
 from spectrail.llm import licences
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
@@ -217,3 +219,10 @@ def test_sql_agrees_on_wrapped_notices(spark):
     con.register("documents", docs.toPandas())
     got = sorted((r.doc_id, str(r.rule), str(r.licence), " ".join(map(str, r.sentence_ids))) for r in licences.scan(docs).collect())
     assert len(got) > 30 and got == sorted((a, str(b), str(c), d) for a, b, c, d in con.sql(licences.op6_sql()).fetchall())
+
+
+def test_a_very_long_text_and_an_empty_table(spark):
+    text = "plain words go on and on.\n" * 40_000 + "Released under the MIT license.\n" + "and on. " * 100_000
+    df = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, rule string")
+    assert [r.licence for r in licences.scan(df).collect()] == [licences.scan(df.withColumn("text", F.lit("Released under the MIT license."))).first().licence]
+    assert licences.scan(df.limit(0)).count() == 0

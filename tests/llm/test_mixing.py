@@ -53,3 +53,41 @@ def test_prefix_sums(spark):
 def test_components(spark, links, expected):
     df = spark.createDataFrame(links, "a long, b long")
     assert {r.node: r.component for r in components(df).collect()} == expected
+
+
+def test_the_table_equals_brute_force(spark):
+    """The whole result: sizes, targets by dealing the excess again, and words taken along the order of hashes."""
+    import re
+    from fractions import Fraction
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
+    hashes = {(r.doc_id, r.n): r.h for r in spark.createDataFrame([(d, n) for d, _, n in rows], "doc_id long, n long").withColumn("h", F.xxhash64("doc_id", "n")).collect()}
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, list(names), Fraction(3, 2) * sum(size.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+        over = [s for s in free if share[s] > 2 * size[s]]
+        if not over:
+            target |= share
+            break
+        target |= {s: Fraction(2 * size[s]) for s in over}
+        left, free = left - sum(2 * size[s] for s in over), [s for s in free if s not in over]
+    expected = {}
+    for s in names:
+        words = int(target[s])
+        whole, rest = divmod(words, size[s]) if size[s] else (0, 0)
+        for d, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (hashes[r[0], r[2]], r[0], r[2])):
+            part = min(n, rest)
+            rest -= part
+            expected[d] = (n, size[s], float(target[s]), whole * n + part)
+    got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in mixing.op2_mix(spark, "/root/testdata/sf0.01").collect()}
+    assert len(rows) <= 1000 and got.keys() == expected.keys()
+    assert all(got[d][:2] == e[:2] and got[d][2] == pytest.approx(e[2]) and got[d][3] == e[3] for d, e in expected.items())
+
+
+def test_a_very_long_text(spark):
+    got = {r.doc_id: r for r in mixing.mix(_docs(spark, [(1, "word " * 400_000, "s"), (2, "a b", "s"), (3, "c", "t")])).collect()}
+    assert got[1]["size"] == 400_000 and got[1].taken <= 800_000 and got[1].source_size == 400_002

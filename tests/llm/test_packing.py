@@ -72,3 +72,9 @@ def test_letters_before_marks_are_the_tokenizers(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "one two"), (None, "one two"), (5, None)], "doc_id long, text string")
+    got = packing.pack(docs).collect()
+    assert sorted((r.doc_id is None, r.length) for r in got) == [(False, 1), (True, 3), (True, 3)]
