@@ -132,3 +132,24 @@ def test_record(spark, tmp_path, monkeypatch, capsys):
     for bad in (["--regression", "1"], ["--review-marker", str(tmp_path / "m")], ["--run-info", "x"], ["--run-info", str(tmp_path / "run.json"), "--summary", str(tmp_path / "s.tsv"), "--accept-run"]):
         with pytest.raises(SystemExit):
             cli.main(["record", *bad])
+
+
+def test_prompt(spark, tmp_path, monkeypatch, capsys):
+    """On a terminal the run is shown and may be accepted, with a reason that is asked for until it is given; no is the default."""
+    import io
+
+    from spectrail.operators.registry import Registry
+
+    monkeypatch.setenv(cli.REGISTRY_VARIABLE, str(tmp_path / "book"))
+    (tmp_path / "run.json").write_text(json.dumps({"search_engine": "e", "dataset": "d", "cfg": "c"}))
+    (tmp_path / "s.tsv").write_text("psm_count\tpeptide_count\tion_count\tprotein_count\n10\t5\t7\t3\n")
+    terminal = io.StringIO()
+    terminal.isatty = lambda: True
+    monkeypatch.setattr("sys.stdin", terminal)
+    for said in (["y", "", " fine "], [""], ["n"]):
+        answers = iter(said)
+        monkeypatch.setattr("builtins.input", lambda _, a=answers: next(a))
+        cli.main(["record", "--run-info", str(tmp_path / "run.json"), "--summary", str(tmp_path / "s.tsv")])
+        assert next(answers, None) is None
+    rows = [(r["id"], r["status"], r["message"]) for r in Registry(spark, str(tmp_path / "book")).runs().orderBy("id").collect()]
+    assert rows == [(1, "reviewed", "fine"), (2, "unreviewed", None), (3, "unreviewed", None)]
