@@ -282,10 +282,16 @@ def spline(train: DataFrame, target: str, feature: str = "expmass", knots: int =
     return Spline(feature, basis, center, bayesian_ridge(gram(_placed(rows, basis, feature), basis, F.abs(F.col(target) - _line(center)), feature)))
 
 
-def metrics(predicted: DataFrame, target: str) -> DataFrame:
+def metrics_table(predicted: DataFrame, target: str) -> DataFrame:
     """One row: mae, rmse and r2 of the column ``prediction``, and the number of rows with both values (r2 null for a constant target)."""
     e, y = F.col(target) - F.col("prediction"), F.col(target).cast("double")
     rows = predicted.where(F.col(target).isNotNull() & F.col("prediction").isNotNull())
     total = F.var_pop(y)
     found = rows.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e * e).alias("_m"), total.alias("_v"), F.count(F.lit(1)).alias("n"))
     return found.select("mae", "rmse", F.when(F.col("_v") > 0, 1 - F.col("_m") / F.col("_v")).alias("r2"), "n")
+
+
+def metrics(predicted: DataFrame, target: str) -> dict[str, float]:
+    """mae, rmse and r2 of the prediction."""
+    row = metrics_table(predicted, target).first()
+    return {m: row[m] for m in ("mae", "rmse", "r2")}

@@ -373,13 +373,13 @@ def calibration_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = calibration.split(fx.psms(spark, sf_dir), key="psm_id")
     found = calibration.spline(train, "precursor_ppm").predict(test)
     inside = found.agg(F.avg(F.col("precursor_ppm").between(F.col("low"), F.col("high")).cast("double")).alias("within_band"))  # one row each
-    return calibration.metrics(found, "precursor_ppm").crossJoin(inside)
+    return calibration.metrics_table(found, "precursor_ppm").crossJoin(inside)
 
 
 @query()
 def calibration_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = calibration.split(fx.psms(spark, sf_dir), key="psm_id")
-    each = [calibration.metrics(calibration.boosted(train, t).predict(test), t).withColumn("target", F.lit(t)) for t in ("precursor_ppm", "fragment_ppm")]
+    each = [calibration.metrics_table(calibration.boosted(train, t).predict(test), t).withColumn("target", F.lit(t)) for t in ("precursor_ppm", "fragment_ppm")]
     return each[0].unionByName(each[1])
 
 

@@ -67,7 +67,7 @@ def test_boosted_reaches_the_medians(spark):
     assert abs(train.count() / 6000 - 0.8) < 0.03
     assert {r.i for r in train.collect()} == {r.i for r in c.split(df, key="i")[0].collect()}
     model = c.boosted(train, "precursor_ppm")
-    found = c.metrics(model.predict(test), "precursor_ppm").first()
+    found = c.metrics_table(model.predict(test), "precursor_ppm").first()
     best = np.mean([abs(r.precursor_ppm - 3 * np.sin(r.expmass / 500)) for r in test.collect()])
     flat = np.mean(np.abs(y - np.median(y)))
     assert found.n == test.count() and best * 0.95 < found.mae < best * 1.15 < flat
@@ -103,4 +103,4 @@ def test_odd_rows(spark):
     assert c.boosted(none, "y").predict(df.where("expmass = 1")).first().prediction == 0.0
     with pytest.raises(ValueError):
         c.spline(none, "y")
-    assert c.metrics(model.predict(df.where("expmass = 1")), "y").first().r2 is None
+    assert c.metrics_table(model.predict(df.where("expmass = 1")), "y").first().r2 is None
