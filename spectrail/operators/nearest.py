@@ -20,14 +20,14 @@ def nearest_sorted(queries: DataFrame, candidates: DataFrame, group: str, query_
     ``delta`` is candidate less query, ``distance`` its size, both in the type of the values. Of candidates equally far the
     lower value counts, of equal values the lowest place. Null and NaN values have no nearest candidate and are none. In single
     precision, differences of values within a factor of two are exact; beyond, what rounds alike counts as equally far only among
-    the two neighbours of a query. Both tables are written once, in their ranges, to the shared folder.
+    the two neighbours of a query. Both tables are written to the shared folder, as they are and in their ranges.
     """
     spark = queries.sparkSession
     names = queries.columns
     usable = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
     own = queries.select(group, F.struct(*names).alias("_row"), F.when(usable(query_value), F.col(query_value)).alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_place"))
     other = candidates.where(usable(value)).select(group, F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"), F.lit(0).alias("_kind"), F.col(place).cast("long").alias("_place"))
-    both = own.unionByName(other)
+    both = saved(own.unionByName(other))  # counted, sampled for ranges and dealt: three passes
     total = both.count()
     ranges = max(1, -(-total // rows_per_range), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 10_000)))
     # ties between rows are broken by a hash, so equal values of a group can be cut, too

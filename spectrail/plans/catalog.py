@@ -119,8 +119,9 @@ def _merged(spark: SparkSession, sf_dir: str, precursors: DataFrame | None = Non
     return mapping.resolve(fx.fragments(spark, sf_dir), passing, fx.precursors(spark, sf_dir) if precursors is None else precursors)
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.nearest(_merged(spark, sf_dir), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), TOLERANCE)
+def _hits(spark: SparkSession, sf_dir: str, tolerance: float = TOLERANCE, sort: bool | None = None) -> DataFrame:
+    """Hits of fragments that are written once with their precursors, since they also say which slices are read."""
+    return mapping.nearest(saved(_merged(spark, sf_dir)), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), tolerance, sort=sort)
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -165,12 +166,12 @@ def _wide_sql(tolerance: str) -> str:
 
 @query(_wide_sql("10"))
 def nearest_wide_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.nearest(_merged(spark, sf_dir), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), 10.0)
+    return _hits(spark, sf_dir, 10.0)
 
 
 @query(_wide_sql("0.001"))
 def nearest_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.nearest(_merged(spark, sf_dir), fx.precursors(spark, sf_dir), fx.library(spark, sf_dir), TOLERANCE, sort=True)
+    return _hits(spark, sf_dir, sort=True)
 
 
 @query(_MERGED + "SELECT * FROM mapped")
