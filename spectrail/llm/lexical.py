@@ -25,6 +25,8 @@ from spectrail.sources.shared import saved
 
 #: Coordinates of a sketch; places of a query; queries of a block and their terms (an item with more is a block of its own).
 WIDTH, PLACES, ITEMS, TERMS = 1_024, 50, 256, 100_000
+#: Documents whose bounds are looked up at once.
+DOCUMENTS = 2_000
 #: Documents scored at once behind the first of a batch's bounds.
 STEP = 64
 #: Separators as blanks, A-Z as a-z; all bytes above 0x7F belong to terms.
@@ -68,6 +70,19 @@ def term_counts(documents: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     return text_batches(documents.select("doc_id", "text")).mapInArrow(run, _COUNTS.format(kind))
 
 
+def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``DOCUMENTS`` rows, from smaller or larger ones."""
+    held, rows = [], 0
+    for batch in (b.slice(at, DOCUMENTS) for b in batches for at in range(0, b.num_rows, DOCUMENTS)):
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= DOCUMENTS:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class _Block:
     """Queries of a block: their terms' numbers and weights, and the weights' sum on each coordinate."""
 
@@ -84,7 +99,7 @@ class _Block:
     def places(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best documents of one task for each query: query, doc_id, score."""
         best: list[list[tuple[int, bool, int]]] = [[] for _ in self.terms]  # (-score, no id, id), in order
-        for batch in batches:
+        for batch in _together(batches):
             ids = batch["doc_id"].to_pylist()
             n = np.asarray(batch["n"])
             counts = np.diff(np.asarray(batch["t"].offsets))

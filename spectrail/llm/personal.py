@@ -32,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Rounds of message passing, the share of an old message that stays, and the least belief of a span's tokens.
 ROUNDS, DAMPING, LEAST = 10, 0.3, 0.9
+#: Documents whose tokens are labelled at once.
+TOGETHER = 200
 #: Documents made for training, and steps of the fit.
 MADE, STEPS = 1_000, 100
 
@@ -394,7 +396,7 @@ def find(documents: DataFrame, text: str = "text", least: float = LEAST) -> Data
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
             graph, bases = Graph(), {}
             for doc, cell in enumerate(batch[text]):
                 own = cell.as_py() or ""
@@ -406,7 +408,7 @@ def find(documents: DataFrame, text: str = "text", least: float = LEAST) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, base, more])
 
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return text_batches(documents, 200).mapInArrow(run, T.StructType([*documents.schema, T.StructField(base, kind), T.StructField(more, kind)]))
+    return text_batches(documents).mapInArrow(run, T.StructType([*documents.schema, T.StructField(base, kind), T.StructField(more, kind)]))
 
 
 def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

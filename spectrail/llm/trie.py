@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectrail.llm.tables import read
+from spectrail.llm.tables import read, text_batches
 from spectrail.sources.shared import saved
 
-#: Turns in one row of the matrices; rows of a shard; turns of a conversation that are gathered before places are known.
-SEGMENT, SHARD, PIECE = 64, 16_384, 1_024
+#: Turns in one row of the matrices; rows of a shard; turns of a conversation that are gathered before places are known; ids in a chunk of members.
+SEGMENT, SHARD, PIECE, CHUNK = 64, 16_384, 1_024, 2_048
 #: The first turns that a conversation can take from another: fewer than this.
 DONATED = 6
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -33,7 +33,7 @@ _PIECES = f"conv_id bigint, part int, start bigint, turns array<{_TURN}>"
 _KEY = "struct<a:bigint,b:bigint>"
 _PARTS = (
     "resolved boolean, shared boolean, open boolean, a bigint, b bigint, depth bigint, conv_id bigint, parent_conv_id bigint, pa bigint, pb bigint, "
-    f"n_convs bigint, n_children bigint, n_leaves bigint, saved bigint, last bigint, path array<{_KEY}>, ends_sha256 string, ends binary, ends_first bigint"
+    f"n_convs bigint, n_children bigint, n_leaves bigint, saved bigint, last bigint, path array<{_KEY}>, ends_sha256 string, ends array<struct<first:bigint,ids:binary>>"
 )
 
 
@@ -131,7 +131,7 @@ def _matrices(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return counts, there, *out
 
 
-def _ends(ids: np.ndarray) -> bytes:
+def _ids(ids: np.ndarray) -> bytes:
     return ",".join(map(str, ids.tolist())).encode()
 
 
@@ -179,13 +179,13 @@ def shard_nodes(table: pa.Table, segment: int) -> Iterator[pa.RecordBatch]:
             known, parent = above[6][up], above[8][up]
         ended = (counts == j) & ~more & ((j > 0) | (seg == 0))
         some = np.add.reduceat(ended.astype(np.int64), s) > 0
-        path, sha, ends, first = [None] * len(s), np.full(len(s), EMPTY_SHA, object), [None] * len(s), [None] * len(s)
+        path, sha, ends = [None] * len(s), np.full(len(s), EMPTY_SHA, object), [None] * len(s)
         for i in np.flatnonzero(real & some).tolist():
             own = conv[s[i] : e[i]][ended[s[i] : e[i]]]
             if resolved[i]:
-                sha[i] = hashlib.sha256(_ends(own)).hexdigest()
+                sha[i] = hashlib.sha256(_ids(own)).hexdigest()
             else:
-                ends[i], first[i] = _ends(own), int(own[0])
+                ends[i] = [{"first": int(own[k]), "ids": _ids(own[k : k + CHUNK])} for k in range(0, len(own), CHUNK)]
         for i in np.flatnonzero(real & ~resolved & ~virtual).tolist():
             r = s[i]
             path[i] = [{"a": x, "b": y} for x, y in zip(*(k[r, int(seg[r] > 0) : j + 1].tolist() for k in keys), strict=True)]
@@ -193,7 +193,7 @@ def shard_nodes(table: pa.Table, segment: int) -> Iterator[pa.RecordBatch]:
         columns = {
             "resolved": resolved, "shared": shared & ~virtual, "open": np.logical_or.reduceat(counts == segment, s), "a": keys[0][s, j], "b": keys[1][s, j], "depth": seg[s] * segment + j,
             "conv_id": (least, virtual), "parent_conv_id": (parent, ~known), "pa": (keys[0][s, max(j - 1, 0)], np.full(len(s), j == 0)), "pb": (keys[1][s, max(j - 1, 0)], np.full(len(s), j == 0)),
-            "n_convs": size * zero, "n_children": children, "n_leaves": n_leaves * zero, "saved": n_saved * zero, "last": last, "path": path, "ends_sha256": (sha, ~resolved), "ends": ends, "ends_first": first,
+            "n_convs": size * zero, "n_children": children, "n_leaves": n_leaves * zero, "saved": n_saved * zero, "last": last, "path": path, "ends_sha256": (sha, ~resolved), "ends": ends,
         }
         yield _record(columns, here)
         above = level
@@ -214,7 +214,7 @@ def _record(columns: dict, here: np.ndarray) -> pa.RecordBatch:
 
 
 _KEY_ARROW = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_KINDS = {"boolean": pa.bool_(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), f"array<{_KEY}>": _KEY_ARROW}
+_KINDS = {"boolean": pa.bool_(), "bigint": pa.int64(), "string": pa.string(), f"array<{_KEY}>": _KEY_ARROW, "array<struct<first:bigint,ids:binary>>": pa.list_(pa.struct([("first", pa.int64()), ("ids", pa.binary())]))}
 _NODES_ARROW = pa.schema([(x.split(" ")[0], _KINDS[x.split(" ")[1]]) for x in _PARTS.split(", ")])
 
 
@@ -245,7 +245,7 @@ def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: list[tuple[int, int, str]] = []
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sha", pa.string())])
     for batch in batches:
-        for a, b, chunk in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["ends"].to_pylist(), strict=True):
+        for a, b, chunk in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["ids"].to_pylist(), strict=True):
             if (a, b) != key:
                 if digest is not None:
                     done.append((*key, digest.hexdigest()))
@@ -268,7 +268,7 @@ def prefix_trie(conversations: DataFrame, segment: int = SEGMENT, rows_per_shard
     turns stand in the order of their hashes, repeated rows are turns of their own, and other columns are not read. A
     conversation without turns is a member of the root. Without conversations there are no nodes. Texts of any length count
     whole; turns are told apart by 128 bits of hashes. A node's hash of members is one sequence by definition, so its ids
-    pass through one task, as chunks of up to a shard's members, one at a time.
+    pass through one task, as chunks of ``CHUNK`` ids, some at a time.
     """
     rows = saved(segments(rebuilt(conversations.select("conv_id", "turn", "role", "text")), segment))
     shards = max(1, -(-rows.count() // rows_per_shard))
@@ -295,8 +295,8 @@ def prefix_trie(conversations: DataFrame, segment: int = SEGMENT, rows_per_shard
     extra = rows.where("more").join(later, ["conv_id", "seg"]).select("seg", *key, "turns", "later_leaves", "later_saved").mapInArrow(_prefixes, "a bigint, b bigint, more_leaves bigint, more_saved bigint")
     gains = saved(below.unionByName(extra).groupBy(*key).agg(F.sum("more_leaves").alias("more_leaves"), F.sum("more_saved").alias("more_saved")))
 
-    chunks = parts.where("ends IS NOT NULL").select(*key, "ends_first", "ends").repartition(*key).sortWithinPartitions(*key, "ends_first")
-    hashes = chunks.mapInArrow(_hashes, "a bigint, b bigint, sha string")
+    chunks = parts.where("ends IS NOT NULL").select(*key, F.explode("ends").alias("c")).select(*key, "c.*").repartition(*key).sortWithinPartitions(*key, "first")
+    hashes = text_batches(chunks).mapInArrow(_hashes, "a bigint, b bigint, sha string")
     whole = {n: F.col(c) + F.coalesce(more, F.lit(0)) for n, c, more in (("n_leaves", "n_leaves", "more_leaves"), ("saved_tokens", "saved", "more_saved"))}
     met = met.join(gains, key, "left").join(hashes, key, "left").withColumns(whole).withColumn("ends_sha256", F.coalesce("sha", F.lit(EMPTY_SHA)))
     met = saved(met.select(*key, "conv_id", "depth", "parent_conv_id", "pa", "pb", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"))
