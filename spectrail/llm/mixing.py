@@ -60,3 +60,45 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Fixed values of xxhash64.
+_LONG = 2**64
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _hashed_sql(table: str, column: str, seed: str, out: str) -> str:
+    """The rows of ``table`` with ``out``: xxhash64 of the long ``column`` with the seed ``seed``, as 0 .. 2**64 - 1."""
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in _PRIMES)
+    m = f"{_LONG}::uhugeint"
+    turned = lambda x, n: f"({x} * {2**n}::uhugeint % {m} + {x} // {2 ** (64 - n)}::uhugeint)"
+    steps = [
+        f"((({column}::hugeint + {_LONG}) % {_LONG})::uhugeint * {p2}) % {m}",
+        f"xor(({seed} + {p5} + 8) % {m}, {turned('_x', 31)} * {p1} % {m})",
+        f"({turned('_x', 27)} * {p1} + {p4}) % {m}",
+        f"xor(_x, _x // {2**33}::uhugeint) * {p2} % {m}",
+        f"xor(_x, _x // {2**29}::uhugeint) * {p3} % {m}",
+        f"xor(_x, _x // {2**32}::uhugeint)",
+    ]
+    query = f"SELECT *, {steps[0]} AS _x FROM {table}"
+    for step in steps[1:-1]:
+        query = f"SELECT * REPLACE ({step} AS _x) FROM ({query})"
+    return f"SELECT * EXCLUDE (_x), {steps[-1]} AS {out} FROM ({query})"
+
+
+def op2_sql() -> str:
+    """The same by one running sum for each source, in DuckDB's SQL; the order of hashes is computed there, too."""
+    return f"""WITH RECURSIVE sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size FROM documents),
+first_hash AS ({_hashed_sql('sized', 'doc_id', '42::uhugeint', 'h')}),
+both_hashes AS ({_hashed_sql('(SELECT * RENAME (h AS g) FROM first_hash)', 'size', 'g', 'h')}),
+placed AS (SELECT *, ((h // {2**32}::uhugeint)::bigint * greatest(1, (count(*) OVER () + 999) // 1000)) // {2**32} AS bucket, CASE WHEN h >= {2**63} THEN h::hugeint - {2**64} ELSE h::hugeint END AS signed FROM both_hashes),
+summed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, signed, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM placed),
+sources AS (SELECT source, sum(size)::bigint AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::double AS weight FROM sized GROUP BY source),
+rounds AS (SELECT source, source_size, weight, 1.5::double * sum(source_size) OVER () AS amount, 0 AS round, NULL::double AS target FROM sources
+  UNION ALL SELECT source, source_size, weight, amount - coalesce(sum(2 * source_size) FILTER (is_full) OVER (), 0), round + 1,
+    CASE WHEN is_full THEN 2.0 * source_size WHEN NOT any_full THEN share END
+  FROM (SELECT *, share > 2.0 * source_size AS is_full, bool_or(share > 2.0 * source_size) OVER () AS any_full
+    FROM (SELECT *, amount * weight / sum(weight) OVER () AS share FROM rounds WHERE target IS NULL))),
+targets AS (SELECT source, source_size, target, floor(target)::bigint AS words, CASE WHEN source_size > 0 THEN floor(target)::bigint // source_size ELSE 0 END AS whole FROM rounds WHERE target IS NOT NULL)
+SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, words - whole * source_size - before)) AS taken
+FROM summed JOIN targets ON summed.source IS NOT DISTINCT FROM targets.source"""

@@ -452,3 +452,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read(spark, sf_dir, "documents"))
+
+
+def op8_sql() -> str:
+    """The same by grouping all windows of 400 bytes, in DuckDB's SQL."""
+    return r"""WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, p, md5_number(b[p:p + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS p FROM bytes)),
+again AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
+marked AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -400) > 400 AS opens FROM starts SEMI JOIN again USING (h)),
+numbered AS (SELECT doc_id, p, sum(opens::int) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 400 AS e FROM numbered GROUP BY doc_id, span),
+cut AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS f FROM spans),
+left_over AS (SELECT doc_id, sum(e - s)::bigint AS n_removed, count(*) AS n_spans, max(e) AS f, string_agg(hex(b[f:s - 1]), '' ORDER BY s) AS x FROM cut JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::bigint AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(x, '') || hex(b[coalesce(f, 1):]))) AS kept_sha256 FROM bytes LEFT JOIN left_over USING (doc_id)"""

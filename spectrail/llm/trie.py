@@ -312,3 +312,19 @@ def prefix_trie(conversations: DataFrame, segment: int = SEGMENT, rows_per_shard
 def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations."""
     return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op11_sql() -> str:
+    """The same by grouping all prefixes, in DuckDB's SQL; crc32 goes bit by bit."""
+    return r"""WITH own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bits AS (SELECT conv_id, turns, list_transform(range(8 * strlen(conv_id::varchar)), lambda i: ((ascii(substr(conv_id::varchar, i // 8 + 1, 1)) >> (i % 8)) & 1)::bigint) AS bits FROM own),
+taken AS (SELECT conv_id, turns, xor(4294967295, list_reduce([4294967295] || bits, lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1)))) % 6 AS h FROM bits),
+rebuilt AS (SELECT c.conv_id, coalesce(d.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns FROM taken c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS (SELECT conv_id, d, len(turns) = d AS ends, turns[1:d] AS path FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(length(any_value(path[d].t)), 0) AS chars,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY path, d),
+children AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (SELECT path[1:k] AS path, sum((n IS NULL)::int)::bigint AS n_leaves, sum((n_convs - 1) * chars)::bigint AS saved_tokens
+  FROM (SELECT path, n, n_convs, chars, unnest(range(d + 1)) AS k FROM nodes LEFT JOIN children USING (path)) GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(n, 0) AS n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM nodes x LEFT JOIN children USING (path) JOIN below USING (path) LEFT JOIN nodes p ON x.d > 0 AND p.path = x.path[1:x.d - 1]"""

@@ -243,3 +243,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, group: int = GROUP, id
 
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op9_sql() -> str:
+    """The same by all pairs, in DuckDB's SQL."""
+    return r"""WITH RECURSIVE v AS (SELECT vec_id, embedding::double[] AS v FROM embeddings),
+fine AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM v
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.9),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+lows AS (SELECT a, min(b) AS low FROM reached GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN lows ON lows.a = vec_id"""
