@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spectrail import schemas
 from spectrail.operators import distribution, mapping, registry, summary
-from spectrail.sources import columns, tables
+from spectrail.sources import columns, figures, tables
 
 REGISTRY_VARIABLE = "SPECTRAIL_REGISTRY"
 _COLUMNS = ("label", *summary.COUNTS)
+PLOT_DATA = ("cells", "contours", "scores", "by_charge")
 
 
 def _spark() -> SparkSession:
@@ -90,7 +91,7 @@ def run_map(args: argparse.Namespace) -> int:
 
 
 def run_scores(args: argparse.Namespace) -> int:
-    """Writes each slice's plot data as Parquet, with its axes and label as JSON, and tells how many rows were dropped."""
+    """Writes each slice's plot data as Parquet, its axes and label as JSON and its drawings as SVG, and tells how many rows were dropped."""
     spark = _spark()
     read = lambda path: spark.read.parquet(path)
     method, params = tables.score_label(args.config)
@@ -99,12 +100,16 @@ def run_scores(args: argparse.Namespace) -> int:
         print("no finite score or no matched peak")
     for s in slices:
         print("\n".join(s.notes), end="\n" if s.notes else "")
-        for name in ("cells", "contours", "scores", "by_charge"):
+        for name in PLOT_DATA:
             df: DataFrame = getattr(s, name)
             df.write.mode("overwrite").parquet(f"{args.output}/{s.name}/{name}.parquet")
         label = distribution.plot_label(method, params, s.threshold)
         ranges = {"label": label, "score": [s.score_axis.low, s.score_axis.high], "log_intensity": [s.log_axis.low, s.log_axis.high]}
         Path(args.output, s.name, "axes.json").write_text(json.dumps(ranges))
+        # at most a row for each cell of the grid, each bin, and each charge and bin
+        data = [read(f"{args.output}/{s.name}/{name}.parquet").toPandas() for name in PLOT_DATA]
+        for name, svg in figures.drawings(*data, s.score_axis, s.log_axis, distribution.BINS_FACET, label).items():
+            Path(args.output, s.name, name).write_text(svg)
     return 0
 
 

@@ -1,4 +1,5 @@
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,9 @@ def test_map_and_scores(spark, tmp_path, capsys):
         total, share, other = plot("cells").agg(F.sum("matched_count"), F.sum("matched_share"), F.sum("unmatched_share")).first()
         assert total == plot("by_charge").agg(F.sum("count")).first()[0] and share == pytest.approx(1) and other in (0, pytest.approx(1))
         assert plot("contours").agg(F.sum("matched")).first()[0] == pytest.approx(1)
+        drawn = {x.name: ElementTree.parse(x).getroot() for x in (tmp_path / "plots" / name).glob("*.svg")}
+        assert sorted(drawn) == ["score_by_charge.svg", "score_distribution.svg", "score_vs_intensity_2d.svg", "score_vs_intensity_isoquants.svg"]
+        assert f"{total:,} matched" in "".join(drawn["score_distribution.svg"].itertext())
         if name == "q30":
             assert 0.65 * len(matched) <= total < len(matched)
 
