@@ -139,6 +139,14 @@ def facets(matched: DataFrame, axis: Axis, score: str = "score", charge: str = "
     return rows.select(F.col(charge).alias("charge"), axis.bin(F.col(score)).alias("bin")).where("bin IS NOT NULL").groupBy("charge", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
+def cuts_at_or_below(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``value``, by halving: about the logarithm of their number in steps."""
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    sorted_ = F.array(*map(F.lit, cuts))
+    # beyond the end get() is null, which is no step forward
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(sorted_, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def quantiles(rows: DataFrame, value: str, levels: list[float], per_task: int = 1_000_000) -> list[float | None]:
     """Exact quantiles of a column, linear between neighbours; None without values. Nulls do not count.
 
@@ -157,7 +165,7 @@ def quantiles(rows: DataFrame, value: str, levels: list[float], per_task: int =
         cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * parts)).first()[0])) if parts > 1 else []
         part = F.lit(0)
         if cuts:
-            part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("v")))
+            part = cuts_at_or_below(F.col("v"), cuts)
         ranged = counts.withColumn("part", part)
         sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}
         starts, before = {}, 0

@@ -164,7 +164,7 @@ def read_many(spark: SparkSession, files: Sequence[tuple[str, str]], schema: T.S
     for df, uris in parts:
         pairs = [(re.sub("^file:/+", "file:/", u), label) for u in uris for path, label in files if _label_of(u, path)]
         labels = spark.createDataFrame(pairs, "_file string, label string")  # one row for each file
-        out = out.unionByName(df.select(*[F.col(f.name).cast(f.dataType) for f in schema], "_file").join(F.broadcast(labels), "_file").select(*names, "label"))
+        out = out.unionByName(df.select(*[F.col(f.name).cast(f.dataType) for f in schema], "_file").join(labels, "_file").select(*names, "label"))
     return out
 
 

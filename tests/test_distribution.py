@@ -2,6 +2,7 @@ import bisect
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import bin_of, edges
@@ -96,3 +97,12 @@ def test_draws_are_within_one_of_their_expectation(spark):
         assert all(abs(found[i] - n * max(w or 0, 0) / total) < 1 + 1e-9 for i, w in enumerate(weights)) and found[0] == found[6] == found[8] == 0
         assert found == {r.bin // 3000: r.draws for r in d.draws(cells.repartition(5), n=n, seed=seed).collect()}
     assert [r.draws for r in d.draws(cells.where("count = 0")).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 100, 999])
+def test_cuts_at_or_below(spark, n):
+    cuts = [x * 0.5 for x in range(n)]
+    values = [-1.0, -0.0, 0.0, 0.25, 0.5, n / 4, n / 2 - 0.5, n / 2, 1e9, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [(r.v, r.k) for r in df.select("v", d.cuts_at_or_below(F.col("v"), cuts).alias("k")).collect()]
+    assert got == [(v, sum(c <= v for c in cuts)) for v in values]
