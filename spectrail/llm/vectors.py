@@ -154,7 +154,6 @@ def _compared(cosine: float, kind: str):
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
         sets = [(home & (chunk == p), None)] if p == q else [(home & (chunk == p), home & (chunk == q))]
         sets += [(home & (chunk == p), ~home & (chunk == q))] + ([] if p == q else [(home & (chunk == q), ~home & (chunk == p))])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for one, two in sets:
             a = np.flatnonzero(one)
             b = a if two is None else np.flatnonzero(two)
@@ -176,10 +175,7 @@ def _compared(cosine: float, kind: str):
                     i, j = i[first], j[first]
                     np.add.at(links, i, copies[j])
                     np.add.at(links, j, copies[i])
-                    found.append(_tree(i, j, root))
-        if found:
-            i, j = (np.concatenate(x) for x in zip(*found))
-            _tree(i, j, root)
+                    _join(i, j, root)
         has = links > 0
         low = np.full(len(rows), np.iinfo(np.int64).max)
         np.minimum.at(low, root, ids)
@@ -188,13 +184,13 @@ def _compared(cosine: float, kind: str):
     return each
 
 
-def _tree(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Joins the ends of links in ``root`` (each row's label, that of its group); returns the links as pairs of labels."""
+def _join(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> None:
+    """Joins the ends of links in ``root`` (each row's label, that of its group)."""
     while True:
         low = np.minimum(root[i], root[j])
         high = np.maximum(root[i], root[j])
         if (low == high).all():
-            return low[:0], high[:0]
+            return
         np.minimum.at(root, high, low)
         while True:
             up = root[root]
