@@ -101,3 +101,28 @@ def test_scratch_is_removed(spark):
         assert kept.count() == 5 and __import__("os").path.exists(urlparse(path).path)
     assert not __import__("os").path.exists(urlparse(path).path)
     assert shared.saved(spark.range(2)).count() == 2
+
+
+def test_labels_of_files_and_heads_need_no_sorted_rows(spark, tmp_path):
+    from spectrail import schemas
+
+    names = [f.name for f in schemas.PSMS]
+    orders = [names, [*names[::-1], "more"]]
+    files = [(str(tmp_path / f"{i}.tsv"), f"f{i}") for i in range(2)]
+    for i, (path, _) in enumerate(files):
+        row = {"psm_id": str(i), "peptide": "p", "charge": "2", "more": "m"}
+        (tmp_path / f"{i}.tsv").write_text("\n" + "\t".join(orders[i]) + "\n" + ("\t".join(row.get(n, "") for n in orders[i]) + "\n") * (500 + i))
+    # files of several splits
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        heads = tables._heads(spark, [p for p, _ in files])
+        assert {r["_file"].rsplit("/", 1)[-1]: r["head"] for r in heads.collect()} == {f"{i}.tsv": "\t".join(orders[i]) for i in range(2)}
+        assert "Sort" not in heads._jdf.queryExecution().executedPlan().toString()
+        df = tables.read_many(spark, files)
+        assert {(r["label"], r["psm_id"]): r["count"] for r in df.groupBy("label", "psm_id").count().collect()} == {("f0", 0): 500, ("f1", 1): 501}
+        # rows of one file are neither dealt to one task nor sorted
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
