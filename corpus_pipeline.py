@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spectrail.llm import language, mixing, neardup, packing, secrets
 from spectrail.llm.tables import WORD, fresh, read, saved, with_columns_of
+from spectrail.sources.shared import new_path, scratch
 
 #: A text whose best language has a smaller mean chance is no text of one language.
 LEAST_SCORE = 0.4
@@ -39,8 +40,10 @@ def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Rows that repeat an id are one document and stay or go together; rows without an id, and texts without a word, stay.
     """
     (name,) = fresh(docs, "kept_id")
-    kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return with_columns_of(docs.join(saved(kept), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi"), docs)
+    path = new_path(spark)
+    with scratch(spark):
+        neardup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias(name)).distinct().write.parquet(path)
+    return with_columns_of(docs.join(spark.read.parquet(path), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi"), docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

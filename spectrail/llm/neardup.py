@@ -101,7 +101,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 def _verified(pairs: DataFrame, ones: DataFrame, twos: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) of which any two sets are alike: 100 * intersection >= percent * union. ``ones`` has the sets of a, ``twos`` those of b."""
     one, two = twos.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), ones.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
-    # sets of too different sizes need no comparison, nor a way to another task
+    # only the sets of documents that are compared are dealt out
+    two = two.join(saved(pairs.select("a").distinct()), "a", "left_semi")
     both = pairs.join(one, "b").join(two, "a").where(_sized(F.size("ia"), F.size("ib"), percent))
     shared = F.size(F.array_intersect("ia", "ib"))
     return both.where(100 * shared >= percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b")
@@ -135,11 +136,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, t: int = COO
     # whose sets are needed: of heads, of members that are compared with one, and of buckets that may stay open
     near = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("heads"), F.lit(False).alias("member"))
     near = near.union(pairs.select("b", F.lit(False), F.lit(True))).union(inside.where("n > 2").select("doc_id", F.lit(False), F.lit(False)))
-    near = saved(near.groupBy("doc_id").agg(F.bool_or("heads").alias("heads"), F.bool_or("member").alias("member")))
+    near = near.groupBy("doc_id").agg(F.bool_or("heads").alias("heads"), F.bool_or("member").alias("member"))
+    again = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("again"))
+    near = saved(near.join(again, "doc_id", "left").withColumn("again", F.coalesce("again", F.lit(False))))
     if near.isEmpty():
         links = pairs
     else:
-        sets = saved(shingle_sets(texts.join(near, "doc_id").dropDuplicates(["doc_id", "text"]), k))
+        # only rows that share an id can repeat a text, so no others are dealt out to find that
+        rows = texts.join(near.where("not again").drop("again"), "doc_id")
+        rows = rows.union(texts.join(near.where("again").drop("again"), "doc_id").dropDuplicates(["doc_id", "text"]))
+        sets = saved(shingle_sets(rows, k))
         links = saved(_verified(pairs, sets.where("heads"), sets.where("member"), percent))
         links = _open_links(inside, links, sets, percent)
     # a document of several texts ties the documents that stand for them together
@@ -175,8 +181,10 @@ def _open_links(inside: DataFrame, links: DataFrame, sets: DataFrame, percent: i
     left = _open_buckets(inside.where("n > 2"), links)
     if left.isEmpty():
         return links
-    smallest = saved(left.groupBy("bucket").agg(F.min(F.struct("n_shingles", "doc_id", "component")).alias("s")).select("bucket", F.col("s.doc_id").alias("a"), F.col("s.component").alias("ca")))
-    pairs = left.join(smallest, "bucket").where("component <> ca").select("a", F.col("doc_id").alias("b")).distinct()
+    smallest = saved(left.groupBy("bucket").agg(F.min(F.struct("n_shingles", "doc_id", "component")).alias("s")).select("bucket", F.col("s.doc_id").alias("a"), F.col("s.n_shingles").alias("na"), F.col("s.component").alias("ca")))
+    # sets of too different sizes need no comparison, nor a way to another task; their buckets stay open
+    likely = left.join(smallest, "bucket").where((F.col("component") != F.col("ca")) & _sized(F.col("n_shingles"), F.col("na"), percent))
+    pairs = likely.select("a", F.col("doc_id").alias("b")).distinct()
     links = saved(links.union(_verified(saved(pairs), sets, sets, percent)))
     left = _open_buckets(left.drop("component"), links)
     if left.isEmpty():

@@ -92,3 +92,14 @@ def test_sketches_fill_and_agree_like_the_sets():
     full = 2**64 - 1
     assert (out[:3] != full).all() and (out[3] == full).all()
     assert abs((out[0] == out[1]).mean() - 300 / 500) < 0.15
+
+
+def test_only_sets_that_are_compared_are_dealt_out(spark):
+    ids = spark.range(50).withColumnRenamed("id", "doc_id")
+    from pyspark.sql import functions as F
+
+    sets = ids.select("doc_id", F.sequence(F.lit(1), F.lit(20)).cast("array<long>").alias("items"))
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    out = neardup._verified(pairs, sets, sets, 80)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2), (3, 4)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
